@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packloom.llm import chat, mixing, sharding
+from packloom.llm import chat, mixing, pieces, quality, sharding, tokens
 from packloom.llm.common import table
 
 
+def tokenizer(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer files lie; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark, sf_dir):
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), tokenizer()), tokenizer())
+    return rows.select("doc_id", "n_bytes", "n_chunks", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
+
+
 def op2_rendezvous_shards(spark, sf_dir):
     return sharding.rendezvous(table(spark, sf_dir, "documents"), [1.0] * 24)
 
@@ -16,13 +28,22 @@ def op3_curriculum_mix(spark, sf_dir):
     return mixing.in_order(mixing.plan_mixture(table(spark, sf_dir, "documents"))).withColumn("positions", F.array_join(F.transform("positions", lambda x: F.format_string("%.6f", x)), ","))
 
 
+def op4_adaptive_quality(spark, sf_dir):
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judged(table(spark, sf_dir, "documents")).select(columns)
+
+
+def op5_token_counts(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op10_preference_format(spark, sf_dir):
     """Conversations 2 k and 2 k + 1 are the chosen and the rejected side of pair k."""
     turns = table(spark, sf_dir, "conversations")
     return chat.preference_pairs(turns.select(F.floor(turns["conv_id"] / 2).alias("pair_id"), F.pmod(turns["conv_id"], F.lit(2)).alias("side"), turns["turn"], turns["role"], turns["text"]))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op3_curriculum_mix, op10_preference_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_rendezvous_shards, op3_curriculum_mix, op4_adaptive_quality, op5_token_counts, op10_preference_format)}
 
 ORACLES = {
     "op3_curriculum_mix": r"""
@@ -44,6 +65,33 @@ select doc_id, size, source_size, target, size * copies as taken, copies,
   coalesce(array_to_string(list_transform(range(copies), lambda e: printf('%.6f', 2 * (case when target > 0 then (e * source_size + middle) / target else 0 end)
     / ((1 - lean) + sqrt((1 - lean) * (1 - lean) + 4 * lean * (case when target > 0 then (e * source_size + middle) / target else 0 end))))), ','), '') as positions
 from c
+""",
+    "op4_adaptive_quality": r"""
+with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text from documents),
+wl as (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+w as (select r, unnest(w) as word, generate_subscripts(w, 1) as i from wl),
+g as (select r, i, array_to_string(list_slice(w, i, i + 7), ' ') as gram from (select r, w, unnest(range(1, len(w) - 6)) as i from wl where len(w) >= 8)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, gram) as n from g) where n > 1),
+rep as (select r, count(distinct i + k) as n_repeat_words from twice, range(8) t(k) group by r),
+ln as (select r, line, row_number() over (partition by r, line) as nth from (select r, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+l as (select r, count(*) filter (where nth > 1) as n_dup_lines, count(*) as n_lines from ln group by r),
+ws as (select r, count(*) as n_words, sum(length(word)) as word_chars from w group by r),
+m as (select d.r, doc_id, lang, source, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+  coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines
+  from d left join ws using (r) left join l using (r) left join rep using (r)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
+s as (select *, unnest(['symbols', 'dup_lines', 'word_length']) as metric, unnest([case when word_chars > 0 then n_symbols * 1000 // word_chars else 0 end,
+  case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end, case when n_words > 0 then word_chars * 20 // n_words else 0 end]) as step from b),
+least_step as (select * from (values ('symbols', 10), ('dup_lines', 100), ('word_length', 10)) v(metric, least_width)),
+k as (select 1 as level, lang, source, metric, step from s where not base_failed union all select 2, lang, null, metric, step from s where not base_failed union all select 3, null, null, metric, step from s where not base_failed),
+q as (select level, lang, source, metric, count(*) as n, quantile_disc(step, 0.25) as q1, quantile_disc(step, 0.75) as q3 from k group by all),
+f as (select q.*, q1 - 6 * greatest(q3 - q1, least_width) as low, q3 + 6 * greatest(q3 - q1, least_width) as high from q join least_step using (metric)),
+v as (select s.r, bool_and(coalesce(s.step between case when a.n >= 50 then a.low when e.n >= 50 then e.low else c.low end
+  and case when a.n >= 50 then a.high when e.n >= 50 then e.high else c.high end, true) or a.n is null) as inside
+  from s left join f a on a.level = 1 and a.lang is not distinct from s.lang and a.source is not distinct from s.source and a.metric = s.metric
+  left join f e on e.level = 2 and e.lang is not distinct from s.lang and e.metric = s.metric left join f c on c.level = 3 and c.metric = s.metric group by s.r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside as kept from b join v using (r)
 """,
     "op10_preference_format": r"""
 with t as (select floor(conv_id / 2)::bigint as pair_id, conv_id % 2 as side, turn, coalesce(role, '') as role, coalesce(text, '') as text,
