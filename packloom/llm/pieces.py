@@ -153,8 +153,8 @@ def _states_at_cuts(matrices: DataFrame) -> DataFrame:
     while levels:
         below = levels.pop().withColumn("group", F.expr(f"no div {FAN}"))
         found = below.join(found, ["key", "group"]).groupBy("key", "group").applyInPandas(_parted, "key binary, no long, s int, t int")
-        found = found.withColumnRenamed("no", "group") if levels else found
-    return found
+        found = found.withColumnRenamed("no", "group")
+    return found.withColumnRenamed("group", "no")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packloom.llm import chat, mixing, pieces, quality, sharding, tokens
+from packloom.llm import chat, jaccard, media, mixing, pieces, quality, repeats, sharding, tokens, warc
 from packloom.llm.common import table
 
 
@@ -37,13 +37,30 @@ def op5_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_zstd_warc(spark, sf_dir):
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives, with_payload=False)
+
+
+def op7_repeated_strings(spark, sf_dir):
+    return repeats.removals(table(spark, sf_dir, "documents"), 400)
+
+
+def op8_media_sniffing(spark, sf_dir):
+    return media.features(media.stored(table(spark, sf_dir, "documents")))
+
+
+def op9_jaccard_classes(spark, sf_dir):
+    return jaccard.classes(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op10_preference_format(spark, sf_dir):
     """Conversations 2 k and 2 k + 1 are the chosen and the rejected side of pair k."""
     turns = table(spark, sf_dir, "conversations")
     return chat.preference_pairs(turns.select(F.floor(turns["conv_id"] / 2).alias("pair_id"), F.pmod(turns["conv_id"], F.lit(2)).alias("side"), turns["turn"], turns["role"], turns["text"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_rendezvous_shards, op3_curriculum_mix, op4_adaptive_quality, op5_token_counts, op10_preference_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_rendezvous_shards, op3_curriculum_mix, op4_adaptive_quality, op5_token_counts, op6_zstd_warc, op7_repeated_strings, op8_media_sniffing, op9_jaccard_classes, op10_preference_format)}
 
 ORACLES = {
     "op3_curriculum_mix": r"""
@@ -92,6 +109,18 @@ v as (select s.r, bool_and(coalesce(s.step between case when a.n >= 50 then a.lo
   from s left join f a on a.level = 1 and a.lang is not distinct from s.lang and a.source is not distinct from s.source and a.metric = s.metric
   left join f e on e.level = 2 and e.lang is not distinct from s.lang and e.metric = s.metric left join f c on c.level = 3 and c.metric = s.metric group by s.r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside as kept from b join v using (r)
+""",
+    "op9_jaccard_classes": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) >= 3 then array_to_string(list_slice(w, i, i + 2), ' ') else array_to_string(w, ' ') end as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+f as (select g from s group by g having count(*) > 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) join f using (g) where a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as node, doc_id as reached from d union select r.node, e.b from r join e on e.a = r.reached)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.reached) as component_id from d left join n using (doc_id) join r on r.node = d.doc_id group by d.doc_id
 """,
     "op10_preference_format": r"""
 with t as (select floor(conv_id / 2)::bigint as pair_id, conv_id % 2 as side, turn, coalesce(role, '') as role, coalesce(text, '') as text,
