@@ -29,10 +29,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/packloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: it cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """The rows as a table in the shared folder: it cuts the lineage and outlives lost executors.
+
+    The shuffle files behind it are needed no more, but Spark deletes them only once the driver's JVM has collected its
+    garbage, which may be long after; with `free` that is done now.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if free:
+        df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._packloom_path = path
     return out
@@ -55,13 +61,13 @@ def components(edges: DataFrame) -> DataFrame:
     component is gathered anywhere. Edges with a null end are left out.
     """
     both = edges.where("a is not null and b is not null and a <> b")
-    both = written(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    both = written(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", False)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels", False)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("got")), "b").groupBy(F.col("a").alias("node")).agg(F.min("got").alias("got"))
         hooked = labels.join(near, "node").select("node", F.least("label", "got").alias("label"), F.col("label").alias("before"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        after = written(hooked.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "before"), "labels")
+        after = written(hooked.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "before"), "labels", False)
         changed = not after.where("label <> before").isEmpty()
         drop(labels)
         labels = after.select("node", "label")
