@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm import text as T
-from packloom.llm.common import written
+from packloom.llm.common import drop, written
 
 K = 32
 #: Stretches that are worked on at once, unless one minimiser has more.
@@ -200,7 +200,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key(docs: DataFrame) -> F.Column:
-    return F.unhex(F.sha2(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8"), 256))
+    """Half of the text's SHA-256: copies are texts of equal keys."""
+    return F.substring(F.unhex(_sha(docs)), 1, 16)
+
+
+def _sha(docs: DataFrame) -> F.Column:
+    return F.sha2(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8"), 256)
 
 
 def _cleaned(docs: DataFrame, least: int) -> DataFrame:
@@ -211,6 +216,7 @@ def _cleaned(docs: DataFrame, least: int) -> DataFrame:
     wanted = anchors.join(twice, "anchor", "left_semi").groupBy("key").agg(F.collect_list("place").alias("places"))
     once = texts.groupBy("key").agg(F.first("text").alias("text"))
     suspects = written(once.join(wanted, "key").select("key", "text", "places"), "suspects")
+    drop(anchors)
     stretches = suspects.mapInArrow(_stretches(least), "anchor bigint, bytes binary, lead int, keys array<binary>, starts array<bigint>")
     spans = stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(least), "key binary, `from` bigint, `to` bigint")
     per_text = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
@@ -227,7 +233,7 @@ def removals(docs: DataFrame, least: int = 400) -> DataFrame:
     Null text: empty. Rows that repeat are copies of each other. An empty table gives no rows. Only doc_id and text are
     read. A span is a maximal run of removed bytes.
     """
-    rows = docs.select(docs["doc_id"], _key(docs).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(docs["doc_id"], _key(docs).alias("key"), _sha(docs).alias("sha"), F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long").alias("n_bytes"))
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > 1")
     cleaned = _cleaned(docs, least).drop("kept_text")
     both = rows.join(copies, "key", "left").join(cleaned, "key", "left")
@@ -235,7 +241,7 @@ def removals(docs: DataFrame, least: int = 400) -> DataFrame:
     pick = lambda whole, name, none: F.when(gone, whole).otherwise(F.coalesce(F.col(name), none)).alias(name)
     return both.select(
         "doc_id", "n_bytes", pick(F.col("n_bytes"), "n_removed", F.lit(0).cast("long")), pick(F.lit(1).cast("long"), "n_spans", F.lit(0).cast("long")),
-        pick(F.lit(hashlib.sha256(b"").hexdigest()), "kept_sha256", F.lower(F.hex("key"))),
+        pick(F.lit(hashlib.sha256(b"").hexdigest()), "kept_sha256", F.col("sha")),
     )
 
 
