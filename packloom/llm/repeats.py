@@ -114,7 +114,7 @@ def repeated_columns(pieces: list[bytes], leads: np.ndarray, least: int) -> list
             symbols = np.frombuffer(columns.read(m), np.uint8)
             if c in stops and len(order):
                 keep = np.flatnonzero(leaving[order] > c)
-                agree = np.maximum.reduceat(agree, np.concatenate([[0], keep[:-1] + 1])) if len(keep) else agree[:0]
+                agree = np.maximum.reduceat(agree[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1])) if len(keep) else agree[:0]
                 order = order[keep]
             upto = int(np.searchsorted(entered, c, "right"))
             if upto > next_in:
