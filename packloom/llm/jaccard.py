@@ -3,8 +3,9 @@
 Two sets with a Jaccard similarity of t or more share at least O = ceil(t * n) tokens, n the size of either. In any
 common order of tokens, the first n - O + l tokens of both then share at least l tokens. A document starts with l = 1.
 Where its prefix meets another document's (its estimated candidate cost, the rows its tokens are shared with, is not
-zero), it is lengthened to l = n - O and must share that many: documents of unlike texts that meet in a common line drop
-out. The tokens of the longer prefix are then taken from the rarest on, so that only n - O + 1 of them need be looked up.
+zero), it is lengthened to a quarter of n - O, and where it still meets enough, to l = n - O, and must share that many:
+documents of unlike texts that meet in a common line drop out before their long prefixes are dealt out. The tokens of the
+longest prefix are then taken from the rarest on, so that only n - O + 1 of them need be looked up.
 What is left falls into small connected parts, in which full sets are compared through an inverted index.
 """
 
@@ -20,21 +21,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packloom.llm import text as T
-from packloom.llm.common import components, written
+from packloom.llm.common import components, drop, written
 
 #: Tokens of the sets that one task compares at most; larger parts are cut into blocks by set size and compared block by block.
 BLOCK_TOKENS = 4_000_000
 #: Rounds in which documents that lost their partners leave before the parts are formed.
 PEELS = 2
+#: The middle prefix is lengthened by this part of n - O.
+PART = 4
 
 
 def overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _needed(n: str, percent: int) -> str:
-    """Tokens that the longer prefixes of a document and any partner, which has at least O tokens, share at least."""
-    return f"greatest(1, (({percent} * {n} + 99) div 100) * {100 - percent} div 100)"
+def _needed(n: str, percent: int, part: int = 1) -> str:
+    """Tokens that the prefixes, lengthened to (n - O) / part, of a document and any partner, which has at least O tokens, share at least."""
+    return f"greatest(1, (({percent} * {n} + 99) div 100) * {100 - percent} div {100 * part})"
 
 
 def _sets(n_words: int, percent: int, with_prefix: bool):
@@ -127,25 +130,38 @@ def classes(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     heads = written(heads.groupBy("node", "n", "check").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")).drop("check"), "heads")
 
     def shared(tokens: DataFrame) -> DataFrame:
-        return tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("cost")).where("lo <> hi").select("token", "cost")
+        """A set has a token once, so that a token's rows are its sets."""
+        return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1")
 
-    short = heads.select("node", F.explode(F.expr(f"slice(head, 1, cast(n - (({percent} * n + 99) div 100) + 1 as int))")).alias("token"))
+    def prefix(length: str) -> DataFrame:
+        return heads.select("node", F.expr(f"slice(head, 1, cast(n - (({percent} * n + 99) div 100) + {length} as int))").alias("head"))
+
+    sizes = heads.select("node", "n")
+    short = prefix("1").select("node", F.explode("head").alias("token"))
     met = written(short.join(shared(short), "token", "left_semi").select("node").distinct(), "met")
-    tokens = heads.join(met, "node", "left_semi").select("node", "n", F.explode("head").alias("token"))
+    middle = prefix(f"({100 - percent} * n) div {100 * PART} + 1").join(met, "node", "left_semi").select("node", F.explode("head").alias("token"))
+    found = middle.join(shared(middle), "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("found"))
+    close = written(found.join(sizes, "node").where(f"found >= {_needed('n', percent, PART)}").select("node"), "close")
+    drop(met)
+    tokens, hits = heads.join(close, "node", "left_semi").select("node", F.explode("head").alias("token")), None
     for _ in range(PEELS):
-        hits = written(tokens.select("node", "n", "token").join(shared(tokens), "token"), "hits")
-        enough = hits.groupBy("node").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where(f"found >= {_needed('n', percent)}").select("node", "found")
+        before, hits = hits, written(tokens.select("node", "token").join(shared(tokens), "token"), "hits")
+        if before is not None:
+            drop(before)
+        enough = hits.groupBy("node").agg(F.count(F.lit(1)).alias("found")).join(sizes, "node").where(f"found >= {_needed('n', percent)}").select("node", "n", "found")
         tokens = hits.join(enough, "node")
     rarest = Window.partitionBy("node").orderBy("cost", "token")
     looked = tokens.withColumn("nth", F.row_number().over(rarest)).where(f"nth <= found - {_needed('n', percent)} + 1").select("node", "token")
     hubs = looked.groupBy("token").agg(F.min("node").alias("b"))
     parts = components(looked.join(hubs, "token").select(F.col("node").alias("a"), "b"))
+    drop(close)
+    drop(hits)
 
     chosen = parts.join(heads.select("node", "rep"), "node").select("label", "node", F.col("rep").alias("doc_id"))
     texts = rows.join(chosen, "doc_id").select("label", "node", "text")
     full = written(texts.mapInArrow(_full_sets(n_words), "label bigint, node bigint, n bigint, tokens binary").dropDuplicates(["node"]), "full")
-    sizes = full.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    placed = full.join(sizes, "label").withColumn("whole", F.col("all") <= BLOCK_TOKENS)
+    totals = full.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    placed = full.join(totals, "label").withColumn("whole", F.col("all") <= BLOCK_TOKENS)
     alone = placed.where("whole").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     large = written(placed.where("not whole").select("label", "node", "n"), "large")
     stars = alone
