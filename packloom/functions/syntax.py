@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import regex
 
 _DQ, _SQ = r'"(?:\\.|[^"\\\n])*+"', r"'(?:\\.|[^'\\\n])*+'"
@@ -139,3 +141,22 @@ def imports(text: str, lang: str | None) -> list[str]:
             if s := regex.search(_MARK, code[m.end() : i]):
                 add(m.start(), string(s.group(1)))
     return [spec for _, _, spec in sorted(found)]
+
+
+def alias_patterns(text: str) -> list[list[str]] | None:
+    """Pattern, first target and baseUrl of each alias of a tsconfig or jsconfig; None if it can't be parsed or has other types."""
+
+    def constant(name: str):
+        raise ValueError(name)
+
+    try:
+        found = json.loads(text, parse_constant=constant)
+        options = found.get("compilerOptions") or {} if isinstance(found, dict) and isinstance(found.get("compilerOptions"), dict | None) else None
+        base, paths = options.get("baseUrl"), options.get("paths")
+        if not isinstance(base, str | None) or not isinstance(paths, dict | None) or not all(isinstance(v, list) and all(isinstance(x, str) for x in v) for v in (paths or {}).values()):
+            return None
+        out = [[k, v[0], base or "."] for k, v in (paths or {}).items() if v]
+        "".join(x for p in out for x in p).encode()
+        return out
+    except (ValueError, AttributeError, RecursionError):
+        return None

@@ -20,6 +20,11 @@ def extract_imports(text: pd.Series, ext: pd.Series) -> pd.Series:
     return pd.Series([syntax.imports(t or "", LANGUAGES.get(e)) for t, e in zip(text, ext, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def alias_patterns(json: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else syntax.alias_patterns(t) for t in json], dtype=object)
+
+
 @F.udtf(returnType=T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("spec", T.StringType())]))
 class ImportRows:
     """extract_imports(text, ext) as rows, for LATERAL."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions import text as X
+from packloom.functions import udfs
 
 # Fixed values
 CANDIDATES = {"py": ("py",), "go": ("go",), "java": ("java",), "cs": ("cs",), "rb": ("rb",), "php": ("php",), "c": ("c", "h"), "h": ("c", "h"), **dict.fromkeys(("cpp", "hpp", "cc", "cxx"), ("cpp", "hpp", "cc", "cxx"))}
@@ -46,8 +47,7 @@ def bases(spec: Column, folder: Column, root: Column, ext: Column) -> Column:
 
 def first_existing(imports: DataFrame, inventory: DataFrame, candidates: Column, keys: list[str]) -> DataFrame:
     """keys and dst: the first of the candidates that the inventory has; imports without one are left out."""
-    tried = imports.select(*keys, F.posexplode(candidates).alias("prio", "dst"))
-    return tried.join(inventory.select(F.col("path").alias("dst")), "dst").groupBy(*keys).agg(F.min_by("dst", "prio").alias("dst"))
+    return _first(imports.select(*keys, F.posexplode(candidates).alias("prio", "dst")), inventory, keys)
 
 
 def ancestors(folder: Column) -> Column:
@@ -75,17 +75,55 @@ def nearest_tsconfig(folders: DataFrame, configs: DataFrame) -> DataFrame:
     return up.join(valid, "up").groupBy("folder").agg(F.max_by("path", F.struct("depth", (-F.col("nth")).alias("n"))).alias("config"))
 
 
+def aliases(folders: DataFrame, configs: DataFrame) -> DataFrame:
+    """folder, pattern, target and base for the alias patterns of the config that holds for a folder; configs has path and json."""
+    read = configs.withColumn("patterns", udfs.alias_patterns("json")).where("patterns is not null")
+    at = F.regexp_replace("path", "/?[^/]*$", "")
+    each = read.select(F.col("path").alias("config"), at.alias("at"), F.explode("patterns").alias("p"))
+    base = F.when(F.col("p")[2].startswith("/"), F.col("p")[2]).otherwise(F.concat_ws("/", "at", F.col("p")[2]))
+    return nearest_tsconfig(folders, read).join(each, "config").select("folder", F.col("p")[0].alias("pattern"), F.col("p")[1].alias("target"), base.alias("base"))
+
+
+def alias_candidates(imports: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, prio and dst: the paths to try for imports through alias patterns, the longest pattern's first; ties by pattern.
+
+    Patterns with a folder (and the base of their targets) hold for imports of that folder alone.
+    """
+    to = X.alias_target(F.col("spec"), F.col("pattern"), F.col("target"))
+    if "folder" in patterns.columns:
+        found, at = imports.join(patterns, "folder").where(to.isNotNull()), F.when(to.startswith("/"), to).otherwise(F.concat_ws("/", "base", to))
+    else:
+        # Patterns are those of one project's configuration: a list of a few rows, so the match is a nested loop over it.
+        found, at = imports.join(F.broadcast(patterns), to.isNotNull()), to
+    tried = found.select(*keys, "pattern", F.posexplode(probes(at, F.lit(""))).alias("nth", "dst"))
+    return tried.select(*keys, F.struct(F.lit(0).alias("way"), (-F.length("pattern")).alias("l"), "pattern", "nth").alias("prio"), "dst")
+
+
 def resolve_aliases(imports: DataFrame, patterns: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:
     """Imports through alias patterns (pattern, target), the longest that leads to a file first; ties by pattern."""
-    # Patterns are those of one project's configuration: a list of a few rows, so the match is a nested loop over it.
-    found = imports.join(F.broadcast(patterns), X.alias_target(F.col("spec"), F.col("pattern"), F.col("target")).isNotNull())
-    tried = found.select(*keys, "pattern", F.posexplode(probes(X.alias_target(F.col("spec"), F.col("pattern"), F.col("target")), F.lit(""))).alias("prio", "dst"))
-    hit = tried.join(inventory.select(F.col("path").alias("dst")), "dst")
-    return hit.groupBy(*keys).agg(F.min_by("dst", F.struct((-F.length("pattern")).alias("l"), "pattern", "prio")).alias("dst"))
+    return _first(alias_candidates(imports, patterns, keys), inventory, keys)
 
 
-def edges(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """src, ord, spec, dst for files with path, folder, ext and specs, and roots with folder and root."""
+def candidates(files: DataFrame, roots: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """src, ord, spec, prio and dst: the paths to try for the imports of files with path, folder, ext and specs.
+
+    roots has folder and root. patterns, from aliases(), come before the other ways; not for relative imports, Python and C.
+    """
     specs = files.join(roots, "folder").select("path", "folder", "root", "ext", F.posexplode("specs").alias("ord", "spec")).withColumnRenamed("path", "src")
     wanted = F.flatten(F.transform(bases(F.col("spec"), F.col("folder"), F.col("root"), F.col("ext")), lambda b: probes(b, F.col("ext"))))
-    return first_existing(specs, files, wanted, ["src", "ord", "spec"])
+    keys = ["src", "ord", "spec"]
+    tried = specs.select(*keys, F.posexplode(wanted).alias("nth", "dst"))
+    out = tried.select(*keys, F.struct(F.lit(1).alias("way"), F.lit(0).alias("l"), F.lit("").alias("pattern"), "nth").alias("prio"), "dst")
+    if patterns is None:
+        return out
+    named = specs.where(~(F.col("spec").startswith("./") | F.col("spec").startswith("../") | F.col("ext").isin("py", *C_LIKE)))
+    return alias_candidates(named, patterns, keys).unionByName(out)
+
+
+def _first(tried: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:
+    return tried.join(inventory.select(F.col("path").alias("dst")), "dst").groupBy(*keys).agg(F.min_by("dst", "prio").alias("dst"))
+
+
+def edges(files: DataFrame, roots: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """src, ord, spec, dst: the first candidate of every import that is one of the files."""
+    return _first(candidates(files, roots, patterns), files, ["src", "ord", "spec"])

@@ -33,7 +33,8 @@ def trace(spark: SparkSession, entry: str, project: str | None = None) -> DataFr
     read = selection.readable(tree.with_content(files.where(F.col("ext").isin(*resolving.CANDIDATES, *resolving.OTHER, "rs")), "/"))
     parsed = read.withColumn("specs", udfs.extract_imports("text", "ext")).drop("content", "text")
     known = files.join(parsed.select("path", "specs"), "path", "left")
-    edges = resolving.edges(known, resolving.project_roots(known, files))
+    configs = selection.readable(tree.with_content(files.where(F.col("name").isin(*resolving.TSCONFIGS)), "/")).select("path", F.col("text").alias("json"))
+    edges = resolving.edges(known, resolving.project_roots(known, files), resolving.aliases(known, configs))
     seen = tracing.reachable(spark.createDataFrame([(entry.lstrip("/"),)], "node string"), edges)
     rows = [(r["path"], r["size"]) for r in seen.join(files, F.col("node") == F.col("path")).select("path", "size").collect()]
     rows.sort(key=lambda r: r[0].split("/"))

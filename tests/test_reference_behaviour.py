@@ -49,6 +49,20 @@ def test_trace(spark, tmp_path, entry, files, n):
     assert engine.trace(spark, str(tmp_path / entry), str(tmp_path)).count() == n
 
 
+def test_trace_follows_aliases(spark, tmp_path):
+    config = '{"compilerOptions": {"baseUrl": "web", "paths": {"@/*": ["src/*"], "@/lib/*": ["lib/*"], "none": []}}}'
+    files = {"package.json": "{}", "tsconfig.json": config, "app/tsconfig.base.json": "{ // no JSON\n}", "app/main.ts": "import { a } from '@/a';\nimport b from '@/lib/b';\nimport c from 'plain';\n", "web/src/a.ts": "import '@/d';\n", "web/lib/b/index.ts": "", "web/src/lib/b.ts": "", "web/src/d.tsx": "", "plain.ts": "", "app/x.py": ""}
+    at = made(tmp_path, files)
+    want = ["app/main.ts", "plain.ts", "web/lib/b/index.ts", "web/src/a.ts", "web/src/d.tsx"]
+    assert [r.path[len(at) + 1 :] for r in engine.trace(spark, f"{at}/app/main.ts").orderBy("seq").collect()] == want
+
+
+def test_alias_patterns():
+    assert syntax.alias_patterns('{"compilerOptions": {"paths": {"a": ["b", "c"], "d": []}}}') == [["a", "b", "."]]
+    assert [syntax.alias_patterns(t) for t in ("{}", '{"compilerOptions": null}')] == [[], []]
+    assert [syntax.alias_patterns(t) for t in ("[]", "{,}", '{"compilerOptions": {"baseUrl": 1}}', '{"compilerOptions": {"paths": {"a": "b"}}}')] == [None] * 4
+
+
 @pytest.mark.parametrize("entry,files,n", TRACES)
 def test_imports_name_something(entry, files, n):
     found = syntax.imports(files[entry], X.LANGUAGES[entry.rpartition(".")[2]])
