@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.functions import udfs
-from packloom.operators import packing, resolving, selection, tracing
+from packloom.operators import packing, resolving, selection
 from packloom.sources import tree
 
 
@@ -22,23 +22,27 @@ def _files(spark: SparkSession, path: str, mode: str, ignore: list[str]) -> tupl
 
 
 def trace(spark: SparkSession, entry: str, project: str | None = None) -> DataFrame:
-    """seq, path and size of the files that an entry file reaches over imports, in the order of path components."""
-    entry = os.path.realpath(entry)
-    top = project or os.path.dirname(entry)
-    while project is None and top != "/" and not (any(os.path.isfile(os.path.join(top, m)) for m in resolving.MARKERS) or os.path.isdir(os.path.join(top, ".git"))):
-        top = os.path.dirname(top)
-    top = os.path.dirname(entry) if top == "/" else top
-    listed = spark.createDataFrame([(p.lstrip("/"), n) for p, n in tree.walk(top)] or [(entry.lstrip("/"), 0)], "path string, size bigint")
-    files = selection.with_parts(listed).withColumn("folder", F.regexp_replace("path", r"/?[^/]*$", ""))
-    read = selection.readable(tree.with_content(files.where(F.col("ext").isin(*resolving.CANDIDATES, *resolving.OTHER, "rs")), "/"))
-    parsed = read.withColumn("specs", udfs.extract_imports("text", "ext")).drop("content", "text")
-    known = files.join(parsed.select("path", "specs"), "path", "left")
-    configs = selection.readable(tree.with_content(files.where(F.col("name").isin(*resolving.TSCONFIGS)), "/")).select("path", F.col("text").alias("json"))
-    edges = resolving.edges(known, resolving.project_roots(known, files), resolving.aliases(known, configs))
-    seen = tracing.reachable(spark.createDataFrame([(entry.lstrip("/"),)], "node string"), edges)
-    rows = [(r["path"], r["size"]) for r in seen.join(files, F.col("node") == F.col("path")).select("path", "size").collect()]
-    rows.sort(key=lambda r: r[0].split("/"))
-    return spark.createDataFrame([(i, f"/{p}", n) for i, (p, n) in enumerate(rows)], "seq bigint, path string, size bigint")
+    """seq, path and size of the files that an entry file reaches over imports, in the order of path components.
+
+    Candidates are looked up in the file system, a level at a time: ignore rules do not hold, and a file may lie anywhere,
+    or with project anywhere below it.
+    """
+    below = os.path.realpath(project).strip("/") + "/" if project else ""
+    frontier = {os.path.realpath(entry).lstrip("/")}
+    seen, marks, configs, looked = set(frontier), set(), {}, set()
+    while frontier:
+        files = selection.with_parts(spark.createDataFrame([(p,) for p in sorted(frontier)], "path string")).withColumn("folder", F.regexp_replace("path", r"/?[^/]*$", ""))
+        tree.look_up({os.path.dirname(p) for p in frontier}, looked, marks, configs)
+        read = selection.readable(tree.with_content(files.where(F.col("ext").isin(*resolving.CANDIDATES, *resolving.OTHER, "rs")), "/"))
+        parsed = read.withColumn("specs", udfs.extract_imports("text", "ext")).drop("content", "text")
+        roots = resolving.project_roots(files, spark.createDataFrame([(m,) for m in sorted(marks)], "path string"))
+        patterns = resolving.aliases(files, spark.createDataFrame(sorted(configs.items()), "path string, json string")) if configs else None
+        tried = resolving.candidates(parsed, roots, patterns).withColumn("real", tree.real_file("dst")).where(F.col("real").startswith(below))
+        reached = tried.groupBy("src", "ord", "spec").agg(F.min_by("real", "prio").alias("real")).select("real").distinct()
+        frontier = {r["real"] for r in reached.collect()} - seen
+        seen |= frontier
+    rows = [(i, f"/{p}", os.path.getsize(f"/{p}")) for i, p in enumerate(sorted(seen, key=lambda p: p.split("/")))]
+    return spark.createDataFrame(rows, "seq bigint, path string, size bigint")
 
 
 def select(spark: SparkSession, path: str = ".", mode: str = "scan", no_limit: bool = False, config: tree.Config | None = None) -> DataFrame:

@@ -10,10 +10,14 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType
 
 from packloom.functions import globs
+from packloom.operators.resolving import MARKERS, TSCONFIGS
 from packloom.operators.selection import NEVER
 
 
@@ -161,3 +165,22 @@ def with_content(files: DataFrame, base: str = "") -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*files.dtypes, ("content", "binary")]))
 
 
+@F.pandas_udf(StringType())
+def real_file(path: pd.Series) -> pd.Series:
+    """The real path of a file, or null where none is; paths have no leading slash."""
+    return pd.Series([os.path.realpath(f"/{p}").lstrip("/") if os.path.isfile(f"/{p}") else None for p in path], dtype=object)
+
+
+def look_up(folders: set[str], looked: set[str], marks: set[str], configs: dict[str, str]) -> None:
+    """Add the markers of projects, .git folders among them, and the configs with aliases of the folders and all above them."""
+    for folder in folders:
+        while folder not in looked:
+            looked.add(folder)
+            at = f"{folder}/" if folder else ""
+            marks |= {f"{at}{m}" for m in MARKERS if os.path.isfile(f"/{at}{m}")} | ({f"{at}.git"} if os.path.isdir(f"/{at}.git") else set())
+            for name in TSCONFIGS:
+                try:
+                    configs[f"{at}{name}"] = Path(f"/{at}{name}").read_bytes().decode()
+                except (OSError, UnicodeDecodeError):
+                    continue
+            folder = os.path.dirname(folder)

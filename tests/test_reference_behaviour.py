@@ -57,6 +57,17 @@ def test_trace_follows_aliases(spark, tmp_path):
     assert [r.path[len(at) + 1 :] for r in engine.trace(spark, f"{at}/app/main.ts").orderBy("seq").collect()] == want
 
 
+def test_trace_looks_in_the_file_system(spark, tmp_path):
+    (tmp_path / ".git").mkdir()
+    files = {".gitignore": "made.py\n", "app/main.py": "import pkg.helper\nimport made\nimport target.gen\n", "pkg/helper.py": "", "made.py": "", "target/gen.py": "", "unused.py": ""}
+    files |= {"web/tsconfig.base.json": '{"compilerOptions": {"paths": {"@/*": ["lib/*"]}}}', "web/app/package.json": "{}", "web/app/main.ts": "import '@/a';\nimport './b';\n", "web/lib/a.ts": "", "web/lib/b.ts": ""}
+    at = made(tmp_path, files)
+    os.symlink(f"{at}/web/lib/b.ts", f"{at}/web/app/b.ts")
+    got = lambda entry: [r.path[len(at) + 1 :] for r in engine.trace(spark, f"{at}/{entry}").orderBy("seq").collect()]
+    assert got("app/main.py") == ["app/main.py", "made.py", "pkg/helper.py", "target/gen.py"]
+    assert got("web/app/main.ts") == ["web/app/main.ts", "web/lib/a.ts", "web/lib/b.ts"]
+
+
 def test_alias_patterns():
     assert syntax.alias_patterns('{"compilerOptions": {"paths": {"a": ["b", "c"], "d": []}}}') == [["a", "b", "."]]
     assert [syntax.alias_patterns(t) for t in ("{}", '{"compilerOptions": null}')] == [[], []]
