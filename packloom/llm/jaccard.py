@@ -51,7 +51,7 @@ def _sets(n_words: int, percent: int, with_prefix: bool):
                 head = [x[: min(len(x), 2 * (len(x) - overlap(len(x), percent)) + 1)].view(np.int64) for x in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in head])]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *head])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "node", "check", *(["head"] if with_prefix else [])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *([batch.column(2)] if with_prefix else [])], names=["doc_id", "n", "node", "check", *(["head", "hash"] if with_prefix else [])])
 
     return run
 
@@ -123,11 +123,13 @@ def classes(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     doc_id and text are read. Sets are compared through 64-bit hashes of their shingles.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(docs["doc_id"], docs["text"])
+    rows = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("hash"))
     fields = f"doc_id {kind}, n bigint, node bigint, `check` bigint"
     slim = written(rows.mapInArrow(_sets(n_words, percent, False), fields), "sets")
-    heads = rows.mapInArrow(_sets(n_words, percent, True), f"{fields}, head array<bigint>").where("n > 0")
-    heads = written(heads.groupBy("node", "n", "check").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")).drop("check"), "heads")
+    heads = rows.mapInArrow(_sets(n_words, percent, True), f"{fields}, head array<bigint>, hash bigint").where("n > 0")
+    # The row whose text stands for a set: a doc_id alone does not tell which, as rows may share it or have none.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    heads = written(heads.groupBy("node", "n", "check").agg(first.alias("rep"), F.first("head").alias("head")).drop("check"), "heads")
 
     def shared(tokens: DataFrame) -> DataFrame:
         """A set has a token once, so that a token's rows are its sets."""
@@ -157,8 +159,8 @@ def classes(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     drop(close)
     drop(hits)
 
-    chosen = parts.join(heads.select("node", "rep"), "node").select("label", "node", F.col("rep").alias("doc_id"))
-    texts = rows.join(chosen, "doc_id").select("label", "node", "text")
+    chosen = parts.join(heads.select("node", "rep"), "node").select("label", "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.hash").alias("r_hash"))
+    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(F.col("r_id")) & (rows["hash"] == F.col("r_hash"))).select("label", "node", "text")
     full = written(texts.mapInArrow(_full_sets(n_words), "label bigint, node bigint, n bigint, tokens binary").dropDuplicates(["node"]), "full")
     totals = full.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")).where("members > 1")
     placed = full.join(totals, "label").withColumn("whole", F.col("all") <= BLOCK_TOKENS)

@@ -151,6 +151,24 @@ def test_jaccard_blocks_and_classes(spark, monkeypatch):
         assert [(r.n_shingles, r.component_id) for r in jaccard.classes(d, 3, 90).orderBy("doc_id").collect()] == want
 
 
+def test_jaccard_shared_and_missing_ids(spark):
+    w = [[f"{k}{i}" for i in range(60)] for k in "abcdef"]
+    near = lambda x, *at: [f"v{i}" if i in at else y for i, y in enumerate(x)]
+    words = [(1, w[0]), (1, w[1]), (5, near(w[0], 59)), (7, near(w[1], 59)), (1, w[2]), (9, near(w[2], 0))]
+    words += [(20, near(w[3], 0, 1)), (None, near(w[3], 0)), (None, w[3]), (22, near(w[3], 59)), (None, w[4]), (30, near(w[4], 59)), (None, w[5])]
+    sets = [{tuple(x[i : i + 3]) for i in range(58)} for _, x in words]
+    label = list(range(len(words)))
+    for _ in words:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 95 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    least = {k: min((d for (d, _), x in zip(words, label, strict=True) if x == k and d is not None), default=None) for k in label}
+    want = Counter((d, 58, least[k]) for (d, _), k in zip(words, label, strict=True))
+    got = jaccard.classes(spark.createDataFrame([(d, " ".join(x)) for d, x in words], "doc_id long, text string").repartition(3), 3, 95)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, 51), (60, 60)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
