@@ -5,14 +5,16 @@ equal places. So only strings around minimisers that occur twice can repeat (an
 minimiser, aligned by it, have their equal strings in equal columns. On these stretches the collection's Burrows-Wheeler
 order is built column by column: each round inserts one symbol of every stretch, sorts the order stably by it, and updates
 the common prefixes (here: the column from which on a stretch agrees with its neighbour in the order). A string ending in
-this column repeats if the agreement with a neighbour is at least `least` long. Columns lie in a sequential external file,
-so that a task holds the order and the agreements, but no texts.
+this column repeats if the agreement with a neighbour is at least `least` long. Stretches, columns and the
+runs found lie in files, so that a task holds numbers for each stretch (order, agreements, sizes, the open run), but no texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,21 +92,28 @@ def _stretches(least: int):
     return run
 
 
-def repeated_columns(pieces: list[bytes], leads: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(piece, start) of every string of `least` bytes of the pieces, aligned by their leads, that another piece has in the same columns."""
-    sizes = np.array([len(x) for x in pieces])
+def repeated_columns(flat: np.ndarray, sizes: np.ndarray, leads: np.ndarray, least: int) -> np.ndarray:
+    """(piece, from, to) of the runs of strings of `least` bytes of the pieces, aligned by their leads, that another piece has in the same columns.
+
+    flat has the pieces one after the other and may be mapped from a file. Columns and runs go through files too.
+    """
     shift = leads.max() - leads
-    width, m = int((shift + sizes).max()), len(pieces)
-    out: list[tuple[np.ndarray, int]] = []
-    with tempfile.TemporaryFile() as columns:
+    width, m = int((shift + sizes).max()), len(sizes)
+    since, upto_ = np.full(m, -1, np.int64), np.full(m, -2, np.int64)  # the first and the last start of each piece's open run
+    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as runs:
         rows = 1 << 20
         rows = max(1, rows // max(1, m))
-        flat, begin = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]]) - shift
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) - shift
         for c in range(0, width, rows):  # the columns c to c + rows, one after the other
             at = np.arange(c, min(width, c + rows))[:, None]
             inside = (at >= shift) & (at < shift + sizes)
             columns.write(np.where(inside, flat[np.where(inside, begin + at, 0)], 0).astype(np.uint8).tobytes())
         columns.seek(0)
+
+        def close(which: np.ndarray) -> None:
+            which = which[since[which] >= 0]
+            runs.write(np.stack([which, since[which] - shift[which], upto_[which] - shift[which] + least], axis=1).tobytes())
+
         entering = np.argsort(shift, kind="stable")
         entered, leaving = shift[entering], shift + sizes
         stops = set(leaving.tolist())
@@ -135,46 +144,73 @@ def repeated_columns(pieces: list[bytes], leads: np.ndarray, least: int) -> list
                 if long.any():
                     either = long.copy()
                     either[:-1] |= long[1:]
-                    out.append((order[either], c + 1 - least))
-    return [(int(i), c - int(shift[i])) for which, c in out for i in which]
+                    which, at = order[either], c + 1 - least
+                    started = which[upto_[which] != at - 1]
+                    close(started)
+                    since[started] = at
+                    upto_[which] = at
+        close(np.arange(m))
+        runs.seek(0)
+        found = np.frombuffer(runs.read(), np.int64).reshape(-1, 3)
+    return found[np.lexsort((found[:, 1], found[:, 0]))]
+
+
+class _Held:
+    """Stretches that are worked on at once: their bytes and places in files, their sizes and leads in memory."""
+
+    def __init__(self):
+        self.bytes, self.places = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+        self.sizes, self.leads, self.several, self.anchor = array("q"), array("q"), array("b"), None
+
+    def add(self, r: dict) -> None:
+        self.bytes.write(r["bytes"])
+        pickle.dump((r["keys"], r["starts"]), self.places)
+        self.sizes.append(len(r["bytes"]))
+        self.leads.append(r["lead"])
+        self.several.append(len(r["keys"]) > 1)
+        self.anchor = r["anchor"]
+
+    def found(self, least: int) -> Iterator[pa.RecordBatch]:
+        """The places (key, from, to) of texts that are covered by repeated strings."""
+        sizes, runs = np.array(self.sizes), np.zeros((0, 3), np.int64)
+        if len(sizes) > 1:
+            self.bytes.flush()
+            runs = repeated_columns(np.memmap(self.bytes, np.uint8, "r"), sizes, np.array(self.leads), least)
+        ends = np.searchsorted(runs[:, 0], np.arange(len(sizes)), "right")
+        self.places.seek(0)
+        out: list[tuple[bytes, int, int]] = []
+        for i, several in enumerate(self.several):
+            places = pickle.load(self.places)
+            own = [(0, int(sizes[i]))] if several else runs[ends[i - 1] if i else 0 : ends[i], 1:].tolist()
+            if own:
+                out += [(key, start + a, start + b) for key, start in zip(*places, strict=True) for a, b in own]
+            if len(out) >= 10_000:
+                yield _spans(out)
+                out = []
+        if out:
+            yield _spans(out)
+        self.bytes.close()
+        self.places.close()
+
+
+def _spans(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    keys, starts, ends = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["key", "from", "to"])
 
 
 def _repeated(least: int):
     """From stretches sorted by minimiser, the places (key, start, end) of texts that are covered by repeated strings."""
 
-    def found(rows: list[dict]) -> pa.RecordBatch:
-        hits: dict[int, list[int]] = {}
-        if len(rows) > 1:
-            for i, s in repeated_columns([r["bytes"] for r in rows], np.array([r["lead"] for r in rows]), least):
-                hits.setdefault(i, []).append(s)
-        keys, starts, ends = [], [], []
-        for i, r in enumerate(rows):
-            if len(r["keys"]) > 1:
-                runs = [(0, len(r["bytes"]))]
-            elif i in hits:
-                s = np.array(hits[i])
-                cut = np.flatnonzero(np.diff(s) != 1) + 1
-                runs = [(int(x[0]), int(x[-1]) + least) for x in np.split(s, cut)]
-            else:
-                continue
-            for key, start in zip(r["keys"], r["starts"], strict=True):
-                for a, b in runs:
-                    keys.append(key)
-                    starts.append(start + a)
-                    ends.append(start + b)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["key", "from", "to"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        held = _Held()
         for batch in batches:
             for a in range(0, len(batch), 4096):
                 for r in batch.slice(a, 4096).to_pylist():
-                    if len(rows) >= AT_ONCE and r["anchor"] != rows[-1]["anchor"]:
-                        yield found(rows)
-                        rows = []
-                    rows.append(r)
-        if rows:
-            yield found(rows)
+                    if len(held.sizes) >= AT_ONCE and r["anchor"] != held.anchor:
+                        yield from held.found(least)
+                        held = _Held()
+                    held.add(r)
+        yield from held.found(least)
 
     return run
 

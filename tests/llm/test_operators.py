@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -127,6 +128,21 @@ def test_removals_match_brute_force(spark):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == _brute_removals(texts, 40)
 
 
+def test_one_minimisers_stretches_lie_in_files():
+    rng = np.random.default_rng(1)
+    core, schema = rng.bytes(300), pa.schema([("anchor", pa.int64()), ("bytes", pa.binary()), ("lead", pa.int32()), ("keys", pa.list_(pa.binary())), ("starts", pa.list_(pa.int64()))])
+
+    def batches():
+        for a in range(0, 3000, 500):
+            yield pa.RecordBatch.from_pylist([{"anchor": 7, "bytes": rng.bytes(150) + core + rng.bytes(150), "lead": 300, "keys": [b"%d" % i], "starts": [i]} for i in range(a, a + 500)], schema=schema)
+
+    tracemalloc.start()
+    got = [tuple(r.values()) for b in repeats._repeated(100)(batches()) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for k, _, _ in got] == [b"%d" % i for i in range(3000)] and all(a <= i + 150 and b >= i + 450 for i, (_, a, b) in enumerate(got)) and peak < 60e6, peak
+
+
 def test_jaccard_blocks_and_classes(spark, monkeypatch):
     rng = random.Random(2)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(80)] for _ in range(6)]
