@@ -28,7 +28,7 @@ from packloom.llm.common import drop, written
 K = 32
 #: Stretches that are worked on at once, unless one minimiser has more.
 AT_ONCE = 16_384
-#: Bits of a packed minimiser that hold its place in a block of texts.
+#: Bits of a packed minimiser that hold its place in a window of a block of texts.
 PLACE_BITS = 27
 
 
@@ -38,6 +38,10 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
     none = np.zeros(0, np.int64)
     if n < least:
         return none, none, none, none.view(np.uint64)
+    if n > 1 << PLACE_BITS:  # windows that overlap, so that places fit and every start is in one of them
+        windows = range(0, n - least + 1, (1 << PLACE_BITS) - least + 1)
+        parts = [(a, minimizers(data[a : a + (1 << PLACE_BITS)], np.clip(offsets - a, 0, min(n - a, 1 << PLACE_BITS)), least)) for a in windows]
+        return tuple(np.concatenate([x[i] + (a if i < 3 else np.uint64(0)) for a, x in parts]) for i in range(4))
     at = np.arange(n - K + 1)
     hashes = T.Prefix(data).of(at, at + K)
     bits = np.uint64((1 << PLACE_BITS) - 1)

@@ -143,6 +143,15 @@ def test_one_minimisers_stretches_lie_in_files():
     assert [k for k, _, _ in got] == [b"%d" % i for i in range(3000)] and all(a <= i + 150 and b >= i + 450 for i, (_, a, b) in enumerate(got)) and peak < 60e6, peak
 
 
+def test_minimizers_of_texts_beyond_the_place_bits(monkeypatch):
+    rng = np.random.default_rng(4)
+    data, offsets, least = rng.integers(97, 101, 5000, dtype=np.uint8), np.array([0, 900, 900, 4200, 5000]), 60
+    each = lambda x: [(s, p, h) for a, b, p, h in zip(*x, strict=True) for s in range(a, b + 1)]
+    want = each(repeats.minimizers(data, offsets, least))
+    monkeypatch.setattr(repeats, "PLACE_BITS", 10)
+    assert each(repeats.minimizers(data, offsets, least)) == want and len(want) == 5000 - 3 * 59
+
+
 def test_jaccard_blocks_and_classes(spark, monkeypatch):
     rng = random.Random(2)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(80)] for _ in range(6)]
