@@ -108,7 +108,7 @@ _NUL = "case doc_id % 10 when 0 then chr(0) || 'x' when 1 then repeat('x', 1023)
 
 @query(f"select doc_id, contains(substring({_NUL}, 1, 1024), chr(0)) as is_binary from documents")
 def filter_binary(spark, sf_dir):
-    content = F.expr("case doc_id % 10 when 0 then concat(x'00', cast('x' as binary)) when 1 then concat(cast(repeat('x', 1023) as binary), x'00') when 2 then concat(cast(repeat('x', 1024) as binary), x'00') else cast('plain' as binary) end")
+    content = F.expr("concat(case doc_id % 10 when 0 then concat(x'00', cast('x' as binary)) when 1 then concat(cast(repeat('x', 1023) as binary), x'00') when 2 then concat(cast(repeat('x', 1024) as binary), x'00') else cast('plain' as binary) end, cast(text as binary))")
     return _table(spark, sf_dir, "documents").select("doc_id", X.is_binary(content).alias("is_binary"))
 
 
@@ -186,8 +186,16 @@ def strip_comments_c(spark, sf_dir):
 
 @query("""select doc_id, md5('s = "# no"' || chr(10) || md5(text) || ' ' || chr(10)) as digest from documents""")
 def strip_comments_py(spark, sf_dir):
-    made = F.concat(F.lit('s = "# no"\n'), F.md5(F.col("text").cast("binary")), F.lit(" # it's "), F.lit("'''"), F.lit("\n"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(udfs.strip_comments(made, F.lit("py")).cast("binary")).alias("digest"))
+    """The whole text, escaped, in a string between comments; what is left of it is hashed in its place."""
+    escaped = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    made = F.concat(F.lit('s = "# no"\n# "a\n"""'), escaped, F.lit('""" # it\'s \'\'\'\n'))
+    d = _table(spark, sf_dir, "documents").select("doc_id", udfs.strip_comments(made, F.lit("py")).alias("left"))
+    head, tail = 's = "# no"\n\n"""', '""" \n'
+    body = F.substring("left", F.lit(len(head) + 1), F.length("left") - len(head) - len(tail))
+    body = F.replace(F.replace(body, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    whole = F.col("left").startswith(head) & F.col("left").endswith(tail)
+    hashed = F.concat(F.lit('s = "# no"\n'), F.md5(body.cast("binary")), F.lit(" \n"))
+    return d.select("doc_id", F.md5(F.when(whole, hashed).cast("binary")).alias("digest"))
 
 
 @query("select page_id, strlen(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) as n_bytes from pages")
@@ -258,30 +266,31 @@ _N = "(select count(*) from documents)"
 _NEXT = f"(doc_id * 7 + 1) % {_N}"
 
 
-def _sources(spark, sf_dir, line, ext):
+def _sources(spark, sf_dir, line, ext, last=""):
+    """Made lines before and after the whole text."""
     d = _table(spark, sf_dir, "documents")
     n = d.agg(F.count(F.lit(1)).alias("n"))
-    d = d.select("doc_id").crossJoin(F.broadcast(n)).withColumn("to", (F.col("doc_id") * 7 + 1) % F.col("n"))
-    return d.select("doc_id", "to", F.format_string(line, "to").alias("text"), F.lit(ext).alias("ext"))
+    d = d.select("doc_id", F.col("text").alias("body")).crossJoin(F.broadcast(n)).withColumn("to", (F.col("doc_id") * 7 + 1) % F.col("n"))
+    return d.select("doc_id", "to", F.concat_ws("\n", F.format_string(line, "to"), "body", F.format_string(last, "to")).alias("text"), F.lit(ext).alias("ext"))
 
 
-def _imports(spark, sf_dir, line, ext):
-    return _sources(spark, sf_dir, line, ext).select("doc_id", F.posexplode(udfs.extract_imports("text", "ext")).alias("ord", "spec"))
+def _imports(spark, sf_dir, line, ext, last=""):
+    return _sources(spark, sf_dir, line, ext, last).select("doc_id", F.posexplode(udfs.extract_imports("text", "ext")).alias("ord", "spec"))
 
 
 @query(f"select doc_id, ord, case ord when 0 then 'pkg.f' || {_NEXT} when 1 then 'alias' else '.g' end as spec from documents, (values (0), (1), (2)) t(ord)")
 def imports_py(spark, sf_dir):
-    return _imports(spark, sf_dir, "import pkg.f%d as alias  # import no\nfrom . import g\n'import no'\n", "py")
+    return _imports(spark, sf_dir, "import pkg.f%d as alias  # import no", "py", "from . import g\n'import no'\n")
 
 
 @query(f"select doc_id, ord, case ord when 0 then './f' || {_NEXT} else 'side' end as spec from documents, (values (0), (1)) t(ord)")
 def imports_js(spark, sf_dir):
-    return _imports(spark, sf_dir, "import { a } from './f%d';\n// require('no')\nconst s = require('side');\n", "js")
+    return _imports(spark, sf_dir, "import { a } from './f%d';\n// require('no')", "js", "const s = require('side');\n")
 
 
 @query(f"select doc_id, 0 as ord, 'f' || {_NEXT} || '.h' as spec from documents")
 def imports_c(spark, sf_dir):
-    return _imports(spark, sf_dir, '#include <stdio.h>\n#include "f%d.h"\n', "c")
+    return _imports(spark, sf_dir, '#include <stdio.h>', "c", '#include "f%d.h"\n')
 
 
 CORPUS = (
@@ -385,6 +394,12 @@ def union_ordered(spark, sf_dir):
     return snapshots.in_sequence(v.where("doc_id % 5 = 0").select("path"), v.where("doc_id % 7 = 0").select("path"))
 
 
+@query(f"with {V} select 0 as part, path from f union all select 1, path from f")
+def union_ordered_whole(spark, sf_dir):
+    v = files(spark, sf_dir).select("path")
+    return snapshots.in_sequence(v, v)
+
+
 @query()
 def scan_tree(spark, sf_dir):
     """A small tree, written by the query: a file system has no SQL."""
