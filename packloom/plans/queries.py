@@ -227,10 +227,10 @@ def _sequenced(kept):
     return kept.join(paths, "path")
 
 
-def _budgeted(spark, sf_dir):
-    split = selection.partition(files(spark, sf_dir), LIMIT, list(PATTERNS))
+def _budgeted(spark, sf_dir, limit=LIMIT, budget=BUDGET):
+    split = selection.partition(files(spark, sf_dir), limit, list(PATTERNS))
     kept = _sequenced(split.where("skip_reason is null"))
-    return packing.with_budget(packing.process(kept), BUDGET), split.where("skip_reason is not null")
+    return packing.with_budget(packing.process(kept), budget), split.where("skip_reason is not null")
 
 
 @query(f"with {_RUN} select doc_id, md5(processed) as digest from b")
@@ -255,6 +255,35 @@ def pack_stats(spark, sf_dir):
     return packing.stats(*_budgeted(spark, sf_dir))
 
 
+# The same with the limits of a real run, 1 MiB a file and 100 MiB in all.
+
+FULL = (selection.MAX_FILE_BYTES, packing.DEFAULT_MAX_MB << 20)
+_FULL_REASON = REASON.replace(f"size > {LIMIT} ", f"size > {FULL[0]} ")
+_FULL_RUN = _RUN.replace(REASON, _FULL_REASON).replace(f"<= {BUDGET} ", f"<= {FULL[1]} ")
+
+
+@query(f"with {_FULL_RUN} select doc_id, md5(processed) as digest from b")
+def process_file_full(spark, sf_dir):
+    kept = selection.partition(files(spark, sf_dir), FULL[0], list(PATTERNS)).where("skip_reason is null")
+    return packing.process(kept).select("doc_id", F.md5(F.col("processed").cast("binary")).alias("digest"))
+
+
+@query(f"with {_FULL_RUN} select seq, path, nbytes, cum_bytes, included from b")
+def pack_budget_full(spark, sf_dir):
+    return _budgeted(spark, sf_dir, *FULL)[0].select("seq", "path", "nbytes", "cum_bytes", "included")
+
+
+@query(f"with {_FULL_RUN} select md5(document) as digest, strlen(document) as n_bytes, truncated from o")
+def pack_document_full(spark, sf_dir):
+    d = packing.document(_budgeted(spark, sf_dir, *FULL)[0])
+    return d.select(F.md5(F.col("document").cast("binary")).alias("digest"), F.octet_length("document").cast("long").alias("n_bytes"), "truncated")
+
+
+@query(f"with {_FULL_RUN} select files, (select count(*) from f where {_FULL_REASON} is not null) as skipped, strlen(document) as output_bytes, strlen(document) // 4 as tokens, truncated, strlen(document) // 4 > 100000 as large_payload from o")
+def pack_stats_full(spark, sf_dir):
+    return packing.stats(*_budgeted(spark, sf_dir, *FULL))
+
+
 @query(f"with {V} select path, row_number() over (order by string_split(path, '/')) as nth from f")
 def path_sort(spark, sf_dir):
     return tracing.by_path(files(spark, sf_dir)).select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("nth"))

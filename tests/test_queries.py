@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from packloom.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -40,5 +41,10 @@ def test_whole_texts_are_scanned(spark, tmp_path):
     assert run("strip_comments_py") == [(i + 13, md5(f's = "# no"\n{md5(t)} \n')) for i, t in enumerate(texts)]
 
 
+def test_full_limits_keep_long_texts(db):
+    small, full = (db.sql(f"select sum(size), count(*) from (with {q._RUN if k == 0 else q._FULL_RUN} select * from b)").fetchall()[0] for k in (0, 1))
+    assert full[0] > small[0] and full[1] > small[1], (small, full)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
