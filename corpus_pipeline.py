@@ -8,7 +8,7 @@ from packloom.llm import jaccard, mixing, pieces, quality, repeats
 from packloom.llm.common import drop, table, written
 from packloom.llm.queries import tokenizer
 
-#: Shorter than in op7's contract: a passage of fifty words that documents share is cut, whatever its words' lengths.
+#: Shorter than in op7's contract. Passages are measured in bytes: fifty-one words of one to three letters can be shorter, and then stay.
 PASSAGE_BYTES = 200
 
 
@@ -40,7 +40,7 @@ def sentencepiece(spark, docs, sf_dir):
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", jaccard_join), ("suffix-array dedup", suffix_dedup), ("mixing sources", source_mix), ("SentencePiece encoding", sentencepiece)]
 
-#: SQL can express neither the suffix-array stage nor the encoding; tests hold the stages against brute force.
+#: SQL can express neither the suffix-array stage nor the encoding; tests hold the operators against brute force, not with these parameters.
 ORACLE_SQL = None
 
 
