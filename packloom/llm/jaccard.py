@@ -162,11 +162,13 @@ def classes(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     chosen = parts.join(heads.select("node", "rep"), "node").select("label", "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.hash").alias("r_hash"))
     texts = rows.join(chosen, rows["doc_id"].eqNullSafe(F.col("r_id")) & (rows["hash"] == F.col("r_hash"))).select("label", "node", "text")
     full = written(texts.mapInArrow(_full_sets(n_words), "label bigint, node bigint, n bigint, tokens binary").dropDuplicates(["node"]), "full")
+    drop(heads)
+    drop(parts)
     totals = full.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")).where("members > 1")
     placed = full.join(totals, "label").withColumn("whole", F.col("all") <= BLOCK_TOKENS)
     alone = placed.where("whole").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     large = written(placed.where("not whole").select("label", "node", "n"), "large")
-    stars = alone
+    stars, block = alone, None
     if not large.isEmpty():
         run_up = Window.partitionBy("label").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
         block = large.withColumn("block", (F.sum("n").over(run_up) * 2 / BLOCK_TOKENS).cast("int"))
@@ -179,8 +181,11 @@ def classes(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
         cut = placed.where("not whole").join(block.select("node", "block"), "node").join(sides, ["label", "block"]).drop("block")
         stars = alone.unionByName(cut)
     stars = written(stars.select("label", "i", "j", "node", "n", "tokens", "whole").groupBy("label", "i", "j").applyInPandas(_compared(percent), "a bigint, b bigint, whole boolean"), "stars")
+    for done in (full, large, block):
+        if done is not None:
+            drop(done)
     linked = stars.where("whole").select(F.col("a").alias("node"), F.col("b").alias("top"))
-    if not large.isEmpty():
+    if block is not None:
         linked = linked.unionByName(components(stars.where("not whole").select("a", "b")).select("node", F.col("label").alias("top")))
     full_rows = slim.join(linked.where("node <> top"), "node", "left").withColumn("top", F.when(F.col("n") > 0, F.coalesce("top", "node")))
     least = full_rows.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("least"))

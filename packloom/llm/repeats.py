@@ -260,7 +260,9 @@ def _cleaned(docs: DataFrame, least: int) -> DataFrame:
     stretches = suspects.mapInArrow(_stretches(least), "anchor bigint, bytes binary, lead int, keys array<binary>, starts array<bigint>")
     spans = stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(least), "key binary, `from` bigint, `to` bigint")
     per_text = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return written(suspects.drop("places").join(per_text, "key").mapInArrow(_cut, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"), "cleaned")
+    cleaned = written(suspects.drop("places").join(per_text, "key").mapInArrow(_cut, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"), "cleaned")
+    drop(suspects)
+    return cleaned
 
 
 def removals(docs: DataFrame, least: int = 400) -> DataFrame:
