@@ -2,36 +2,61 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from packloom.llm import jaccard, mixing, pieces, quality, repeats
-from packloom.llm.common import drop, table, written
+from packloom.llm.common import drop, made, release, table, written
 from packloom.llm.queries import tokenizer
 
 #: Shorter than in op7's contract. Passages are measured in bytes: fifty-one words of one to three letters can be shorter, and then stay.
 PASSAGE_BYTES = 200
 
 
+#: The intermediate tables behind the result of the stage that was called last.
+_behind: list[str] = []
+
+
+def stage(make):
+    """A stage: when it begins, its predecessor's result is written, so the intermediate tables behind that go."""
+
+    @functools.wraps(make)
+    def run(spark, docs, sf_dir):
+        release(docs, _behind)
+        before = made()
+        out = make(spark, docs, sf_dir)
+        _behind[:] = [x for x in made() if x not in before]
+        return out
+
+    return run
+
+
+@stage
 def quality_rules(spark, docs, sf_dir):
     """Documents that the rules reject go."""
     return quality.keep_good(docs)
 
 
+@stage
 def jaccard_join(spark, docs, sf_dir):
     """One document of each class of near copies stays (five-word shingles, similarity 0.8)."""
     return jaccard.keep_one(docs, 5, 80)
 
 
+@stage
 def suffix_dedup(spark, docs, sf_dir):
     """Passages that occur more than once are cut from texts."""
     return repeats.without_repeats(docs, PASSAGE_BYTES)
 
 
+@stage
 def source_mix(spark, docs, sf_dir):
     """Documents as often, and in the order, as the mix takes them."""
     return mixing.curriculum(docs)
 
 
+@stage
 def sentencepiece(spark, docs, sf_dir):
     """The ids of every document, and whether they decode to its text."""
     rows = pieces.decode(pieces.encode(docs, tokenizer()), tokenizer())
@@ -46,8 +71,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
+    for i, (_, make) in enumerate(STAGES):
+        before, docs = docs, make(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, "stage")
             drop(before)
