@@ -43,7 +43,7 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
         parts = [(a, minimizers(data[a : a + (1 << PLACE_BITS)], np.clip(offsets - a, 0, min(n - a, 1 << PLACE_BITS)), least)) for a in windows]
         return tuple(np.concatenate([x[i] + (a if i < 3 else np.uint64(0)) for a, x in parts]) for i in range(4))
     at = np.arange(n - K + 1)
-    hashes = T.Prefix(data).of(at, at + K)
+    hashes = T.Rolling(data).of(at, at + K)
     bits = np.uint64((1 << PLACE_BITS) - 1)
     packed = (hashes & ~bits) | at.astype(np.uint64)
     padded = np.full(-(-len(packed) // span) * span, np.iinfo(np.uint64).max)

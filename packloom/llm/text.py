@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,13 @@ _rng = np.random.Generator(np.random.PCG64(20240611))
 #: A random odd number for each byte value, and the base of the polynomial with its inverse modulo 2 ** 64.
 BYTE_HASH = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
+#: The prime modulus 2 ** 61 - 1 of the hashes that stand for texts, and a random base.
+PRIME = (1 << 61) - 1
+PRIME_BASE = int(_rng.integers(1 << 32, PRIME))
+#: Ranges of so many bytes and more are hashed by blake2b.
+LONG_RANGE = 1 << 23
 _powers: list[np.ndarray] = []
+_prime_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,6 +39,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any 64-bit numbers."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, by halves of 31 and 30 bits, whose products fit 64 bits."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    cross = a0 * b1 + a1 * b0
+    return _folded(a1 * b1 * np.uint64(2) + (cross >> np.uint64(30)) + ((cross & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0)
+
+
+def prime_powers(n: int) -> list[np.ndarray]:
+    """The low 30 and the high 31 bits of PRIME_BASE ** k, and PRIME_BASE ** -k, modulo PRIME for k below n."""
+    if not _prime_powers or len(_prime_powers[0]) < n:
+        size, found = max(n, BLOCK + 1), []
+        for base in (PRIME_BASE, pow(PRIME_BASE, -1, PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, times(p, np.full(1, pow(base, len(p), PRIME), np.uint64))])
+            found.append(p[:size])
+        _prime_powers[:] = [found[0] & np.uint64((1 << 30) - 1), found[0] >> np.uint64(30), found[1]]
+    return _prime_powers
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
@@ -56,8 +90,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             start = end
 
 
-class Prefix:
-    """Hashes of any ranges of some bytes, by differences of one running sum."""
+class Rolling:
+    """Cheap hashes of any ranges, modulo 2 ** 64, where unequal strings of equal hashes are easily made: for choices that bytes are compared after."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
@@ -69,6 +103,30 @@ class Prefix:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + length * np.uint64(0xD6E8FEB86659FD93))
 
 
+class Prefix:
+    """Hashes that stand for any ranges of some bytes: polynomials modulo a prime, by differences of running sums.
+
+    The sums of the low and the high halves wrap, but a range's own share of them, below 2 ** 40 a byte, does not.
+    """
+
+    def __init__(self, data: np.ndarray):
+        low, high, self.down = prime_powers(len(data) + 1)
+        self.data, value = data, data.astype(np.uint64) + np.uint64(1)
+        self.low, self.high = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value * low[: len(data)], out=self.low[1:])
+        np.cumsum(value * high[: len(data)], out=self.high[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        length = (ends - starts).astype(np.uint64)
+        high = _folded(self.high[ends] - self.high[starts])
+        shifted = ((high << np.uint64(30)) & np.uint64(PRIME)) | (high >> np.uint64(31))
+        value = times(_folded(shifted + _folded(self.low[ends] - self.low[starts])), self.down[starts])
+        out = mix(value + length * np.uint64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(length >= LONG_RANGE):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest())
+        return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first word (one more entry than rows)."""
     inside = ~SPACE[data]
