@@ -6,11 +6,15 @@ Where its prefix meets another document's (its estimated candidate cost, the row
 zero), it is lengthened to a quarter of n - O, and where it still meets enough, to l = n - O, and must share that many:
 documents of unlike texts that meet in a common line drop out before their long prefixes are dealt out. The tokens of the
 longest prefix are then taken from the rarest on, so that only n - O + 1 of them need be looked up.
-What is left falls into small connected parts, in which full sets are compared through an inverted index.
+What is left falls into connected parts, in which full sets are compared through an inverted index; the sets of a part
+that is too large for one task are compared with a hub first, and what that leaves open by pairs of blocks.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packloom.llm import text as T
-from packloom.llm.common import components, drop, written
+from packloom.llm.common import WORD, components, drop, written
 
-#: Tokens of the sets that one task compares at most; larger parts are cut into blocks by set size and compared block by block.
-BLOCK_TOKENS = 4_000_000
+#: Tokens of the sets that one task compares at most. Larger parts are compared with hubs first, and what is left by pairs of blocks.
+BLOCK_TOKENS = 250_000
+#: Hubs that the sets of a large part are compared with, one after the other.
+HUBS = 2
 #: Rounds in which documents that lost their partners leave before the parts are formed.
 PEELS = 2
 #: The middle prefix is lengthened by this part of n - O.
@@ -51,7 +57,7 @@ def _sets(n_words: int, percent: int, with_prefix: bool):
                 head = [x[: min(len(x), 2 * (len(x) - overlap(len(x), percent)) + 1)].view(np.int64) for x in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in head])]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *head])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *([batch.column(2)] if with_prefix else [])], names=["doc_id", "n", "node", "check", *(["head", "hash"] if with_prefix else [])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", "n", "node", "check", *(["head"] if with_prefix else [])])
 
     return run
 
@@ -65,10 +71,16 @@ def _full_sets(n_words: int):
     return run
 
 
-def join_sets(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None) -> np.ndarray:
-    """For each set the smallest index of a set that it is linked with over any links. Sets stand in ascending size; apart (optional): 0 or 1, links inside 1 and inside 0 need not be looked for again."""
+def join_sets(sets: list[np.ndarray], percent: int, group: np.ndarray | None = None) -> np.ndarray:
+    """For each set the smallest index of a set that it is linked with over any links.
+
+    group (optional): sets of one group above 0 are linked already. Of two such groups only the smaller's sets are looked up.
+    """
     m = len(sets)
+    group = np.zeros(m, np.int64) if group is None else group
     root = np.arange(m)
+    for g in np.unique(group[group > 0]):
+        root[group == g] = np.flatnonzero(group == g)[0]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -77,29 +89,29 @@ def join_sets(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = N
         return int(i)
 
     sizes = np.array([len(x) for x in sets])
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(m), sizes)
     order = np.argsort(ids, kind="stable")
-    postings, counts = row[order], np.bincount(ids, minlength=len(values))
+    postings, counts = row[order], np.bincount(ids)
     first = np.concatenate([[0], np.cumsum(counts)])
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    left = m - 1
-    for i in range(m - 1):
+    parts = len(np.unique(root))
+    most = np.bincount(group)[1:].argmax() + 1 if group.any() else 0
+    for i in np.flatnonzero((group == 0) | (group != most)):
+        if parts == 1:
+            break
         t = ids[ends[i] : ends[i + 1]]
         t = t[counts[t] > 1]
         if not len(t):
             continue
         n = counts[t]
         at = np.repeat(first[t] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(postings[at], minlength=m)[i + 1 :]
-        near = np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes[i + 1 :] - shared)) + i + 1
-        for j in near:
+        shared = np.bincount(postings[at], minlength=m)
+        for j in np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes - shared)):
             a, b = find(i), find(int(j))
             if a != b:
                 root[max(a, b)] = min(a, b)
-                left -= 1
-        if not left:
-            break
+                parts -= 1
     return np.array([find(i) for i in range(m)])
 
 
@@ -107,94 +119,165 @@ def _compared(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "node"])
         nodes = pdf["node"].to_numpy()
-        found = join_sets([np.frombuffer(x, np.uint64) for x in pdf["tokens"]], percent)
-        return pd.DataFrame({"a": nodes, "b": nodes[found], "whole": pdf["whole"].to_numpy()})
+        found = join_sets([np.frombuffer(x, np.uint64) for x in pdf["tokens"]], percent, pdf["hub"].to_numpy())
+        return pd.DataFrame({"a": nodes, "b": nodes[found]})
 
     return run
 
 
-def classes(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reached over links) for every document.
+def _linked_with_hub(percent: int, nth: int):
+    """Sets (label, node, n, tokens, hub, the hub's tokens) with hub set to nth where they are linked with it."""
 
-    Documents link when 100 * intersection >= percent * union of their sets of n_words-word shingles (A-Z lower-cased;
-    with fewer words, the whole sequence is one; without words or text, the set is empty and links with nothing, and the
-    component is the document itself). Documents of equal sets are one node, compared once and never with each other.
-    Rows that repeat are alike. Null doc_id: never the smallest unless all are null. An empty table gives no rows. Only
-    doc_id and text are read. Sets are compared through 64-bit hashes of their shingles.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, hubs, hub = batch.column(3), batch.column(5), batch.column(4).to_numpy(zero_copy_only=False).copy()
+            for i in np.flatnonzero(hub == 0):
+                a, b = np.frombuffer(tokens[i].as_py(), np.uint64), np.frombuffer(hubs[i].as_py() or b"", np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * shared >= percent * (len(a) + len(b) - shared):
+                    hub[i] = nth
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hub)], names=batch.schema.names[:5])
+
+    return run
+
+
+def _links_of_large_parts(large: DataFrame, percent: int) -> DataFrame:
+    """(a, b) whose components are the classes of sets (label, node, n, tokens) of parts that are too large for one task.
+
+    Each set is compared with up to HUBS hubs of its part. Sets linked with a hub are one class with it, so only pairs of
+    different hubs' sets, and all pairs of those linked with none, are left. These are compared by pairs of blocks. A block
+    holds sets of one part, one hub and one class of sizes; only neighbouring classes of sizes can have links.
     """
+    kind = "label bigint, node bigint, n bigint, tokens binary, hub bigint"
+    rows, hubs = large.withColumn("hub", F.lit(0).cast("long")), []
+    for nth in range(1, HUBS + 1):
+        chosen = rows.where("hub = 0").groupBy("label").agg(F.min_by(F.struct("node", "tokens"), "node").alias("h"))
+        hubs.append(written(chosen.select("label", F.lit(nth).cast("long").alias("hub"), F.col("h.node").alias("h_node"), F.col("h.tokens").alias("h_tokens")), "hubs"))
+        joined = rows.join(hubs[-1].drop("hub"), "label", "left").select("label", "node", "n", "tokens", "hub", "h_tokens")
+        after = written(joined.mapInArrow(_linked_with_hub(percent, nth), kind), "large")
+        drop(large if nth == 1 else rows)
+        rows = after
+    to_hubs = [rows.join(h.select("label", "hub", "h_node"), ["label", "hub"]).select(F.col("node").alias("a"), F.col("h_node").alias("b")) for h in hubs]
+    # A little over the ratio of sizes that links allow, so that rounding can't put two linked sets two steps apart.
+    step = f"cast(ln(n) / {math.log(max(100 / percent, 1.01)) * (1 + 1e-9)} as int)"
+    sized = rows.withColumn("step", F.expr(step))
+    blocks = sized.groupBy("label", "hub", "step").agg(F.ceil(F.sum("n") * 2 / BLOCK_TOKENS).cast("int").alias("parts"))
+    blocks = written(blocks, "blocks")
+    each = blocks.select("label", "hub", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    one = each.select("label", F.struct("hub", "step", "part").alias("x"))
+    two = each.select(F.col("label").alias("l2"), F.struct("hub", "step", "part").alias("y"))
+    near = (F.col("label") == F.col("l2")) & (F.col("x") <= F.col("y")) & (F.abs(F.col("x.step") - F.col("y.step")) <= 1)
+    pairs = one.join(two, near & ((F.col("x.hub") != F.col("y.hub")) | (F.col("x.hub") == 0))).select("label", "x", "y")
+    sides = pairs.select("label", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("z")).select("label", "x", "y", "z.hub", "z.step", "z.part")
+    placed = sized.join(blocks, ["label", "hub", "step"]).withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).drop("parts")
+    cut = placed.join(sides, ["label", "hub", "step", "part"])
+    stars = cut.select("label", "x", "y", "node", "n", "tokens", "hub").groupBy("label", "x", "y").applyInPandas(_compared(percent), "a bigint, b bigint")
+    return functools.reduce(DataFrame.unionByName, to_hubs, stars)
+
+
+def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """doc_id, key (of doc_id and text), n (the set's size) and top (a number for the class, null where n is 0) for every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("hash"))
-    fields = f"doc_id {kind}, n bigint, node bigint, `check` bigint"
+    rows = docs.select(docs["doc_id"], docs["text"], _key(docs).alias("key"))
+    fields = f"doc_id {kind}, key binary, n bigint, node bigint, `check` bigint"
     slim = written(rows.mapInArrow(_sets(n_words, percent, False), fields), "sets")
-    heads = rows.mapInArrow(_sets(n_words, percent, True), f"{fields}, head array<bigint>, hash bigint").where("n > 0")
+    heads = rows.mapInArrow(_sets(n_words, percent, True), f"{fields}, head array<bigint>").where("n > 0")
     # The row whose text stands for a set: a doc_id alone does not tell which, as rows may share it or have none.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
-    heads = written(heads.groupBy("node", "n", "check").agg(first.alias("rep"), F.first("head").alias("head")).drop("check"), "heads")
+    heads = written(heads.groupBy("node", "n", "check").agg(F.min("key").alias("rep"), F.first("head").alias("head")).drop("check"), "heads")
 
     def shared(tokens: DataFrame) -> DataFrame:
-        """A set has a token once, so that a token's rows are its sets."""
-        return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1")
+        """Tokens of several sets. A set has a token once, so that a token's rows are its sets. As a table: then Spark can split the rows of a frequent token in joins with it."""
+        return written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1"), "shared")
 
     def prefix(length: str) -> DataFrame:
         return heads.select("node", F.expr(f"slice(head, 1, cast(n - (({percent} * n + 99) div 100) + {length} as int))").alias("head"))
 
     sizes = heads.select("node", "n")
     short = prefix("1").select("node", F.explode("head").alias("token"))
-    met = written(short.join(shared(short), "token", "left_semi").select("node").distinct(), "met")
+    often = shared(short)
+    met = written(short.join(often, "token", "left_semi").select("node").distinct(), "met")
+    drop(often)
     middle = prefix(f"({100 - percent} * n) div {100 * PART} + 1").join(met, "node", "left_semi").select("node", F.explode("head").alias("token"))
-    found = middle.join(shared(middle), "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("found"))
+    often = shared(middle)
+    found = middle.join(often, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("found"))
     close = written(found.join(sizes, "node").where(f"found >= {_needed('n', percent, PART)}").select("node"), "close")
     drop(met)
+    drop(often)
     tokens, hits = heads.join(close, "node", "left_semi").select("node", F.explode("head").alias("token")), None
     for _ in range(PEELS):
-        before, hits = hits, written(tokens.select("node", "token").join(shared(tokens), "token"), "hits")
+        often = shared(tokens)
+        before, hits = hits, written(tokens.select("node", "token").join(often, "token"), "hits")
+        drop(often)
         if before is not None:
             drop(before)
         enough = hits.groupBy("node").agg(F.count(F.lit(1)).alias("found")).join(sizes, "node").where(f"found >= {_needed('n', percent)}").select("node", "n", "found")
         tokens = hits.join(enough, "node")
     rarest = Window.partitionBy("node").orderBy("cost", "token")
-    looked = tokens.withColumn("nth", F.row_number().over(rarest)).where(f"nth <= found - {_needed('n', percent)} + 1").select("node", "token")
-    hubs = looked.groupBy("token").agg(F.min("node").alias("b"))
-    parts = components(looked.join(hubs, "token").select(F.col("node").alias("a"), "b"))
+    looked = written(tokens.withColumn("nth", F.row_number().over(rarest)).where(f"nth <= found - {_needed('n', percent)} + 1").select("node", "token"), "looked")
     drop(close)
     drop(hits)
+    hubs = written(looked.groupBy("token").agg(F.min("node").alias("b")), "hubs")
+    parts = components(looked.join(hubs, "token").select(F.col("node").alias("a"), "b"))
+    drop(hubs)
+    drop(looked)
 
-    chosen = parts.join(heads.select("node", "rep"), "node").select("label", "node", F.col("rep.doc_id").alias("r_id"), F.col("rep.hash").alias("r_hash"))
-    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(F.col("r_id")) & (rows["hash"] == F.col("r_hash"))).select("label", "node", "text")
+    chosen = parts.join(heads.select("node", "rep"), "node")
+    texts = rows.join(chosen, rows["key"] == F.col("rep")).select("label", "node", "text")
     full = written(texts.mapInArrow(_full_sets(n_words), "label bigint, node bigint, n bigint, tokens binary").dropDuplicates(["node"]), "full")
     drop(heads)
     drop(parts)
-    totals = full.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    placed = full.join(totals, "label").withColumn("whole", F.col("all") <= BLOCK_TOKENS)
-    alone = placed.where("whole").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    large = written(placed.where("not whole").select("label", "node", "n"), "large")
-    stars, block = alone, None
-    if not large.isEmpty():
-        run_up = Window.partitionBy("label").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
-        block = large.withColumn("block", (F.sum("n").over(run_up) * 2 / BLOCK_TOKENS).cast("int"))
-        block = written(block, "blocks")
-        spans = block.groupBy("label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        other = spans.select(F.col("label").alias("o_label"), F.col("block").alias("o_block"), F.col("least").alias("o_least"))
-        pairs = spans.join(other, (F.col("label") == F.col("o_label")) & (F.col("o_block") >= F.col("block")) & (F.col("o_least") * percent <= F.col("most") * 100))
-        pairs = pairs.select("label", F.col("block").alias("i"), F.col("o_block").alias("j"))
-        sides = pairs.select("label", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        cut = placed.where("not whole").join(block.select("node", "block"), "node").join(sides, ["label", "block"]).drop("block")
-        stars = alone.unionByName(cut)
-    stars = written(stars.select("label", "i", "j", "node", "n", "tokens", "whole").groupBy("label", "i", "j").applyInPandas(_compared(percent), "a bigint, b bigint, whole boolean"), "stars")
-    for done in (full, large, block):
-        if done is not None:
-            drop(done)
-    linked = stars.where("whole").select(F.col("a").alias("node"), F.col("b").alias("top"))
-    if block is not None:
-        linked = linked.unionByName(components(stars.where("not whole").select("a", "b")).select("node", F.col("label").alias("top")))
-    full_rows = slim.join(linked.where("node <> top"), "node", "left").withColumn("top", F.when(F.col("n") > 0, F.coalesce("top", "node")))
-    least = full_rows.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("least"))
-    return full_rows.join(least, "top", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    totals = written(full.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")).where("members > 1"), "totals")
+    placed = full.join(totals, "label")
+    small = placed.where(F.col("all") <= BLOCK_TOKENS).withColumn("hub", F.lit(0).cast("long"))
+    stars = written(small.select("label", "node", "n", "tokens", "hub").groupBy("label").applyInPandas(_compared(percent), "a bigint, b bigint"), "stars")
+    linked = stars.select(F.col("a").alias("node"), F.col("b").alias("top"))
+    if totals.where(F.col("all") > BLOCK_TOKENS).isEmpty():
+        drop(full)
+    else:
+        large = written(placed.where(F.col("all") > BLOCK_TOKENS).select("label", "node", "n", "tokens"), "large")
+        drop(full)
+        linked = linked.unionByName(components(_links_of_large_parts(large, percent)).select("node", F.col("label").alias("top")))
+    out = slim.join(linked.where("node <> top"), "node", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("top", "node")).alias("top"))
+    out = written(out, "classes")
+    for t in (slim, stars, totals):
+        drop(t)
+    return out
+
+
+def _key(docs: DataFrame) -> F.Column:
+    """Half of the SHA-256 of a row's doc_id and text."""
+    said = F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("?")), F.lit(":"), F.coalesce(docs["text"], F.lit("")))
+    return F.substring(F.unhex(F.sha2(F.encode(said, "UTF-8"), 256)), 1, 16)
+
+
+def classes(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reached over links) for every document.
+
+    Documents link when 100 * intersection >= percent * union of their sets of n_words-word shingles (A-Z lower-cased;
+    with fewer words, the whole sequence is one; without words or text, the set is empty and links with nothing, and the
+    component is the document itself). Documents of equal sets are one node, compared once and never with each other.
+    Rows that repeat are alike. Null doc_id: never the smallest unless all are null. An empty table gives no rows. Only
+    doc_id and text are read. Sets are compared through 64-bit hashes of their shingles.
+    """
+    rows = _labelled(docs, n_words, percent)
+    least = written(rows.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("least")), "least")
+    return rows.join(least, "top", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those whose class has a smaller doc_id; of rows that repeat a doc_id one stays. Rows without a doc_id stay. All columns are kept."""
-    gone = classes(docs, n_words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1 or doc_id is null").drop("_nth")
+    """One row of docs for each class of near copies, that with the smallest doc_id, and every row without words. All columns are kept.
+
+    Rows that share a doc_id but not a class are documents of their own. Among rows of one class and doc_id one text is
+    chosen by its hash, and among equal ones one row. Null doc_id: comes last in its class. Null text has no words, so
+    that its row stays. An empty table stays empty. Columns may have any names, as long as they differ.
+    """
+    rows = _labelled(docs, n_words, percent)
+    best = rows.where("n > 0").groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    best = written(best.select(F.col("best.key").alias("key")), "best")
+    drop(rows)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(_key(docs).alias("key"), F.coalesce(docs["text"].rlike(WORD), F.lit(False)).alias("worded"), *[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    hashable = [n for n, f in zip(names, docs.schema, strict=True) if not {"map", "variant"} & set(re.findall("[a-z]+", f.dataType.simpleString()))]
+    order = Window.partitionBy("key").orderBy(F.xxhash64(*hashable))
+    kept = keyed.where("worded").join(best, "key", "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return kept.select(*names).unionByName(keyed.where("not worded").select(*names)).toDF(*docs.columns)
