@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packloom.llm import text as T
-from packloom.llm.common import written
+from packloom.llm.common import drop, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 REPEAT_WORDS, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-#: The rates that are held against thresholds: numerator, denominator, steps in 1. A sketch counts the documents of a group at each step.
-RATES = {"symbols": ("n_symbols", "word_chars", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "word_length": ("word_chars", "n_words", 20)}
-#: A document is an outlier beyond REACH times the spread between the quartiles, outside of them; the spread counts as LEAST steps at least.
-REACH, LEAST = 6, {"symbols": 10, "dup_lines": 100, "word_length": 10}
+#: The rates that are held against thresholds: numerator and denominator.
+RATES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
+#: A document is an outlier beyond REACH times the spread between the quartiles, outside of them; the spread counts as LEAST at least.
+REACH, LEAST = 6, {"symbols": 0.01, "dup_lines": 0.1, "word_length": 0.5}
+#: A sketch's bucket i counts the values from GAMMA ** (i - 1) to GAMMA ** i, so that quantiles are right to ACCURACY of their value.
+ACCURACY = 0.01
+GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
+#: The bucket of 0, and the lowest and highest of the others, in which all beyond are counted: at most so many buckets a sketch.
+ZERO, LOWEST, HIGHEST = -10_000, -1_100, 1_100
 #: Smaller groups share the sketch of their language, then of all documents.
 MIN_GROUP = 50
 #: Up to so many pairs of language and source, their thresholds are broadcast.
@@ -74,26 +80,43 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _step(name: str) -> F.Column:
-    a, b, steps = RATES[name]
-    return F.expr(f"case when {b} > 0 then ({a} * {steps}) div {b} else 0 end")
+def _rate(name: str) -> F.Column:
+    a, b = RATES[name]
+    return F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b)).otherwise(0.0)
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, low, high) from the sketches of the documents that pass the base rules.
+def _bucket(value: F.Column) -> F.Column:
+    return F.when(value > 0, F.greatest(F.least(F.ceil(F.log(value) / math.log(GAMMA)), F.lit(HIGHEST)), F.lit(LOWEST))).otherwise(ZERO).cast("int")
 
-    A sketch of a group holds how many of its documents are at each step of a rate. Sketches are merged by adding counts,
-    in any order and with the same result; their quantiles are exact to one step, and their size does not grow with the
-    number of documents. A group with less than MIN_GROUP documents gets its language's thresholds, or those of all.
+
+def _middle(bucket: F.Column) -> F.Column:
+    """The value that stands for a bucket: off by ACCURACY of any value in it at most."""
+    return F.when(bucket > ZERO, 2 * F.pow(F.lit(GAMMA), bucket) / (GAMMA + 1)).otherwise(0.0)
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, metric, bucket, n): quantile sketches of the rates of the documents that pass the base rules.
+
+    A sketch counts values in buckets whose bounds grow by a fixed ratio, so that each of its quantiles is right to a fixed
+    part of its value. Sketches of parts are merged by adding counts, in any order and with the same result, and have a
+    bounded number of buckets, however many values they hold.
+    """
+    rates = F.create_map(*[x for m in RATES for x in (F.lit(m), _bucket(_rate(m)))])
+    long = measured.where(~base_failed()).select("lang", "source", F.explode(rates).alias("metric", "bucket"))
+    return written(long.groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n")), "quality-sketch")
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(lang, source, metric, low, high) from the sketches.
+
+    A group with less than MIN_GROUP documents gets the thresholds of its language's merged sketch, or those of all.
     """
-    long = measured.where(~base_failed()).select("lang", "source", F.explode(F.create_map(*[x for m in RATES for x in (F.lit(m), _step(m))])).alias("metric", "step"))
-    sketch = written(long.groupBy("lang", "source", "metric", "step").agg(F.count(F.lit(1)).alias("n")), "quality-sketch")
 
     def quartiles(rows: DataFrame, keys: list[str]) -> DataFrame:
-        merged = rows.groupBy(*keys, "metric", "step").agg(F.sum("n").alias("n"))
+        merged = rows.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*keys, "metric")
-        ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(group))
-        at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("step")))
+        ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(group))
+        at = lambda q: _middle(F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("bucket"))))
         out = ranked.groupBy(*keys, "metric").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("size"))
         least = F.create_map(*[x for m, v in LEAST.items() for x in (F.lit(m), F.lit(v))])[F.col("metric")]
         reach = REACH * F.greatest(F.col("q3") - F.col("q1"), least)
@@ -109,15 +132,17 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
 def _held(rows: DataFrame, small: DataFrame) -> DataFrame:
     """rows, measured, with base_failed and kept, by the thresholds of the measures in `small`."""
-    limits = thresholds(small).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("limits"))
+    sketch = sketches(small)
+    limits = thresholds(sketch).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("limits"))
     limits = written(limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "limits"), "quality-limits")
+    drop(sketch)
     if limits.count() <= MAX_BROADCAST_GROUPS:  # a checked bound: about 200 bytes a group
         limits = F.broadcast(limits)
     rows = rows.join(limits, rows["lang"].eqNullSafe(limits["t_lang"]) & rows["source"].eqNullSafe(limits["t_source"]), "left")
     inside = F.lit(True)
     for m in RATES:
         limit = F.col("limits")[m]
-        inside = inside & F.coalesce(_step(m).between(limit["low"], limit["high"]), F.lit(True))
+        inside = inside & F.coalesce(_rate(m).between(limit["low"], limit["high"]), F.lit(True))
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("t_lang", "t_source", "limits")
 
 
@@ -133,7 +158,11 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judged() keeps, with all their columns. The texts are measured twice instead of being shuffled."""
+    """The rows of docs that judged() keeps, with all their columns. The texts are measured twice instead of being shuffled.
+
+    Null or empty texts fail the base rules and go. Null lang or source: a group of its own. Rows that repeat are judged
+    alike, and all stay or go. An empty table stays empty. Other columns may have any names, those of the measures too.
+    """
     small = written(measure(docs.select(*[docs[c] for c in ("doc_id", "lang", "source", "text")])).drop("text"), "quality-measures")
     names = [c if c in ("doc_id", "lang", "source", "text") else f"_other{i}" for i, c in enumerate(docs.columns)]
     return _held(measure(docs.toDF(*names)), small).where("kept").select(*names).toDF(*docs.columns)

@@ -98,13 +98,16 @@ m as (select d.r, doc_id, lang, source, coalesce(n_words, 0)::bigint as n_words,
   coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines
   from d left join ws using (r) left join l using (r) left join rep using (r)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
-s as (select *, unnest(['symbols', 'dup_lines', 'word_length']) as metric, unnest([case when word_chars > 0 then n_symbols * 1000 // word_chars else 0 end,
-  case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end, case when n_words > 0 then word_chars * 20 // n_words else 0 end]) as step from b),
-least_step as (select * from (values ('symbols', 10), ('dup_lines', 100), ('word_length', 10)) v(metric, least_width)),
-k as (select 1 as level, lang, source, metric, step from s where not base_failed union all select 2, lang, null, metric, step from s where not base_failed union all select 3, null, null, metric, step from s where not base_failed),
-q as (select level, lang, source, metric, count(*) as n, quantile_disc(step, 0.25) as q1, quantile_disc(step, 0.75) as q3 from k group by all),
-f as (select q.*, q1 - 6 * greatest(q3 - q1, least_width) as low, q3 + 6 * greatest(q3 - q1, least_width) as high from q join least_step using (metric)),
-v as (select s.r, bool_and(coalesce(s.step between case when a.n >= 50 then a.low when e.n >= 50 then e.low else c.low end
+s as (select *, unnest(['symbols', 'dup_lines', 'word_length']) as metric, unnest([case when word_chars > 0 then n_symbols::double / word_chars else 0 end,
+  case when n_lines > 0 then n_dup_lines::double / n_lines else 0 end, case when n_words > 0 then word_chars::double / n_words else 0 end]) as rate from b),
+u as (select *, case when rate > 0 then greatest(least(ceil(ln(rate) / ln(1.01::double / 0.99::double)), 1100), -1100) else -10000 end::integer as bucket from s),
+least_width as (select * from (values ('symbols', 0.01::double), ('dup_lines', 0.1::double), ('word_length', 0.5::double)) v(metric, width)),
+k as (select 1 as level, lang, source, metric, bucket from u where not base_failed union all select 2, lang, null, metric, bucket from u where not base_failed union all select 3, null, null, metric, bucket from u where not base_failed),
+q0 as (select level, lang, source, metric, count(*) as n, quantile_disc(bucket, 0.25) as b1, quantile_disc(bucket, 0.75) as b3 from k group by all),
+q as (select *, case when b1 > -10000 then 2 * pow(1.01::double / 0.99::double, b1) / (1.01::double / 0.99::double + 1) else 0 end as q1,
+  case when b3 > -10000 then 2 * pow(1.01::double / 0.99::double, b3) / (1.01::double / 0.99::double + 1) else 0 end as q3 from q0),
+f as (select q.*, q1 - 6 * greatest(q3 - q1, width) as low, q3 + 6 * greatest(q3 - q1, width) as high from q join least_width using (metric)),
+v as (select s.r, bool_and(coalesce(s.rate between case when a.n >= 50 then a.low when e.n >= 50 then e.low else c.low end
   and case when a.n >= 50 then a.high when e.n >= 50 then e.high else c.high end, true) or a.n is null) as inside
   from s left join f a on a.level = 1 and a.lang is not distinct from s.lang and a.source is not distinct from s.source and a.metric = s.metric
   left join f e on e.level = 2 and e.lang is not distinct from s.lang and e.metric = s.metric left join f c on c.level = 3 and c.metric = s.metric group by s.r)
