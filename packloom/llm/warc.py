@@ -65,21 +65,30 @@ def pack(records: list[bytes]) -> bytes:
     return b"".join([struct.pack("<II", SKIPPABLE, len(d)) + d if d else b"", *map(z.compress, records)])
 
 
+def _skipped(data: bytes, at: int) -> int:
+    """Where the skippable frame at `at` ends."""
+    size = struct.unpack("<I", data[at + 4 : at + 8].ljust(4, b"\xff"))[0]
+    if at + 8 + size > len(data):
+        raise InvalidArchive(f"the skippable frame at {at} is cut short")
+    return at + 8 + size
+
+
 def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
     """(place, content) of each frame. The first skippable frame's dictionary, which may be compressed itself, serves all."""
     at, dictionary = 0, None
     if data[:4] == struct.pack("<I", SKIPPABLE):
-        size = struct.unpack("<I", data[4:8])[0]
-        raw = data[8 : 8 + size]
-        if len(raw) < size:
-            raise InvalidArchive("the dictionary is cut short")
-        dictionary, at = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(raw) if raw[:4] == ZSTD_MAGIC else raw), 8 + size
+        at = _skipped(data, 0)
+        raw = data[8:at]
+        try:
+            dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(raw) if raw[:4] == ZSTD_MAGIC else raw)
+        except zstandard.ZstdError as e:
+            raise InvalidArchive(f"the dictionary: {e}") from e
     z = zstandard.ZstdDecompressor(dict_data=dictionary)
     while at < len(data):
-        if 0x184D2A50 <= (magic := struct.unpack("<I", data[at : at + 4].ljust(4, b"\0"))[0]) <= 0x184D2A5F:
-            at += 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if 0x184D2A50 <= struct.unpack("<I", data[at : at + 4].ljust(4, b"\0"))[0] <= 0x184D2A5F:
+            at = _skipped(data, at)
             continue
-        if magic != struct.unpack("<I", ZSTD_MAGIC)[0]:
+        if data[at : at + 4] != ZSTD_MAGIC:
             raise InvalidArchive(f"no frame at {at}")
         one, out, fed = z.decompressobj(), [], at
         try:
@@ -94,10 +103,25 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
         at = fed - len(one.unused_data)
 
 
+def _number(text: str | bytes, what: str) -> int:
+    digits = text.strip()
+    if not digits.isdigit() or not digits.isascii():
+        raise InvalidArchive(f"{what} is no number: {text[:60]!r}")
+    return int(digits)
+
+
+def _page(fields: dict[str, str], name: str) -> int | None:
+    inside = fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")
+    return (-1 if inside[0] == "-" else 1) * _number(inside.removeprefix("-"), name) if inside else None
+
+
 def parse(raw: bytes) -> dict:
     """A record's fields, after checks of its version, headers, lengths and digest."""
     head, found, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    try:
+        lines = head.decode().split("\r\n")
+    except UnicodeDecodeError as e:
+        raise InvalidArchive(f"a head that is no UTF-8: {e}") from e
     if not found or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise InvalidArchive("no WARC head")
     fields = {}
@@ -109,21 +133,20 @@ def parse(raw: bytes) -> dict:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"):
         if name not in fields:
             raise InvalidArchive(f"no {name}")
-    length = int(fields["content-length"])
+    length = _number(fields["content-length"], "content-length")
     if len(rest) != length + len(EMPTY_END) or rest[length:] != EMPTY_END:
         raise InvalidArchive(f"a block of {length} bytes is announced, and {len(rest) - len(EMPTY_END)} are there")
     http, found, payload = rest[:length].partition(b"\r\n\r\n")
-    sizes = [int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    sizes = [_number(x.split(b":", 1)[1], "the HTTP length") for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
     if not found or len(sizes) != 1:
         raise InvalidArchive("no HTTP head with a length")
     kind, told = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-    number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")) else None
     if kind == "response":
         if len(payload) != sizes[0] or digest(payload) != told:
             raise InvalidArchive("the payload is not what its length and digest say")
-    elif kind != "revisit" or payload or number("warc-refers-to") is None:
+    elif kind != "revisit" or payload or _page(fields, "warc-refers-to") is None:
         raise InvalidArchive(f"not a response or revisit: {kind}")
-    return {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": sizes[0], "payload_digest": told, "record_type": kind, "refers_to": number("warc-refers-to"), "payload": payload if kind == "response" else None}
+    return {"page_id": _page(fields, "warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": sizes[0], "payload_digest": told, "record_type": kind, "refers_to": _page(fields, "warc-refers-to"), "payload": payload if kind == "response" else None}
 
 
 def _writer(folder: str):
@@ -176,33 +199,42 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of the listed archives, every one checked; an invalid one raises InvalidArchive, with its archive and place."""
+    """The records of the listed archives, every one checked; an invalid one raises InvalidArchive, with its archive and place.
+
+    `archives` has folder, path and n_records, as write_archives() lists them; a null in one of these raises an error. An
+    archive that is listed twice is read twice; other columns are not read. An empty list gives no rows.
+    """
     n = max(1, archives.count())
 
+    def records_of(r: dict) -> Iterator[dict]:
+        store, _ = fs.FileSystem.from_uri(r["folder"])
+        with store.open_input_stream(r["path"]) as f:
+            data = f.read()
+        at, seen = 0, 0
+        try:
+            for at, raw in frames(data):
+                row = parse(raw)
+                if not with_payload:
+                    del row["payload"]
+                seen += 1
+                yield row
+        except InvalidArchive as e:
+            raise InvalidArchive(f"{r['path']}, record {seen}, at {at} or after: {e}") from e
+        if seen != r["n_records"]:
+            raise InvalidArchive(f"{r['path']} has {seen} records instead of {r['n_records']}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                store, _ = fs.FileSystem.from_uri(r["folder"])
-                with store.open_input_stream(r["path"]) as f:
-                    data = f.read()
-                rows, seen = [], 0
-                for at, raw in frames(data):
-                    try:
-                        row = parse(raw)
-                    except (InvalidArchive, UnicodeDecodeError) as e:
-                        raise InvalidArchive(f"{r['path']}, record at {at}: {e}") from e
-                    if not with_payload:
-                        del row["payload"]
+                rows = []
+                for row in records_of(r):
                     rows.append(row)
-                    seen += 1
                     if len(rows) >= 512:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
-                if seen != r["n_records"]:
-                    raise InvalidArchive(f"{r['path']} has {seen} records instead of {r['n_records']}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     kinds = [("page_id", pa.int64(), "bigint"), ("url", pa.string(), "string"), ("payload_bytes", pa.int64(), "bigint"), ("payload_digest", pa.string(), "string"), ("record_type", pa.string(), "string"), ("refers_to", pa.int64(), "bigint"), ("payload", pa.binary(), "binary")][: 7 if with_payload else 6]
     schema = pa.schema([(a, b) for a, b, _ in kinds])
-    return archives.repartition(min(n, 4096)).mapInArrow(run, ", ".join(f"{a} {c}" for a, _, c in kinds))
+    return archives.select("folder", "path", "n_records").repartition(min(n, 4096)).mapInArrow(run, ", ".join(f"{a} {c}" for a, _, c in kinds))
