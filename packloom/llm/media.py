@@ -21,6 +21,9 @@ PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 #: Magic bytes and the kind that they announce.
 SIGNATURES = {PNG_HEAD: "image/png", b"RIFF": "audio/wav", b"BM": "image/bmp", b"GIF87a": "image/gif", b"GIF89a": "image/gif", b"\xff\xd8\xff": "image/jpeg", b".snd": "audio/basic"}
 KINDS = ("audio/wav", "image/bmp", "image/png")
+#: What media are embedded in: a head of a message part, which has magic bytes of no media, its end, and an icon.
+PART, PART_END = b"--part\r\nContent-Type: %s\r\nX-Note: BMW, RIFF, .snd\r\n\r\n", b"\r\n--part--\r\n"
+ICON = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 128, 0, 0) + bytes(6) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + bytes([2, 2, 76, 1, 0]) + b";"
 
 
 # --- forms
@@ -186,11 +189,18 @@ def samples(media: bytes, kind: str) -> bytes:
     raise ValueError(f"no samples of {kind}")
 
 
+def embedded(form: bytes, declared: str, way: int) -> bytes:
+    """A media file as a column of raw bytes may hold it: by itself, as a part of a message, or in such a part between icons."""
+    part = PART % declared.encode() + form + PART_END
+    return (form, part, ICON + part + ICON)[way]
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, declared and media: every text as samples in a media form, whose kind its checksum picks.
 
     The payload is the UTF-8 text with bytes 255 up to a positive multiple of UNIT. `declared` is what a careless producer
-    says: the true kind for half of the payloads, another for the rest. Null text: empty, so UNIT bytes 255. Rows are
+    says: the true kind for half of the payloads, another for the rest. Two thirds of the media are embedded in other
+    bytes; these too are chosen by checksum, so that equal texts have equal media. Null text: empty, so UNIT bytes 255. Rows are
     independent; an empty table gives no rows; only doc_id and text are read.
     """
 
@@ -201,7 +211,8 @@ def stored(docs: DataFrame) -> DataFrame:
                 payload = data[a:b].tobytes()
                 payload += FILL * ((-len(payload)) % UNIT if payload else UNIT)
                 check = zlib.crc32(payload)
-                rows.append((int(b - a), KINDS[(check + check % 2) % 3], FORMS[KINDS[check % 3]](payload)))
+                declared = KINDS[(check + check % 2) % 3]
+                rows.append((int(b - a), declared, embedded(FORMS[KINDS[check % 3]](payload), declared, check // 6 % 3)))
             n, declared, media = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(declared), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
@@ -212,8 +223,10 @@ def stored(docs: DataFrame) -> DataFrame:
 def features(media: DataFrame) -> DataFrame:
     """From stored(): the kind that sniffing proves, in place of the declared one, and features of the samples that are read back.
 
-    Rows whose bytes hold no valid media raise an error, since stored() always writes some. feature is
-    "kind;declared;start;signatures;media found;sum of samples;samples above 127".
+    Of the media that are carved from a row's bytes the largest is its own (ties: the first); it must be in one of FORMS.
+    media_bytes and media_sha256 are those of the carved file. Rows whose bytes hold no valid media, null ones too, raise
+    an error, since stored() always writes some. Rows that repeat give equal results; an empty table gives no rows; other
+    columns are not read. feature is "kind;declared;start;signatures;media found;sum of samples;samples above 127".
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +237,7 @@ def features(media: DataFrame) -> DataFrame:
                 hits, found = sniff(blob)
                 if not found:
                     raise ValueError("no valid media")
-                start, size, kind = found[0]
+                start, size, kind = max(found, key=lambda x: (x[1], -x[0]))
                 own = blob[start : start + size]
                 payload = samples(own, kind)
                 x = np.frombuffer(payload, np.uint8)
@@ -235,4 +248,4 @@ def features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "declared", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
