@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import subprocess
 import sys
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -44,8 +46,6 @@ def load_config(home: str | None = None) -> Config:
 
 def _rules(folder: str, names: tuple[str, ...]) -> list[tuple[str, bool, bool]]:
     """(regex on the path below folder, exclude, folders only) of an ignore file's lines."""
-    import re
-
     out = []
     for name in names:
         try:
@@ -65,25 +65,29 @@ def _rules(folder: str, names: tuple[str, ...]) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def walk(root: str, ignore: list[str] | None = None) -> list[tuple[str, int]]:
-    """(path, size) of the regular files below root, hidden ones too, in the order of path components.
+class _Walk:
+    """A walk below a root: hidden files too, links not followed, in the order of path components.
 
-    .gitignore files hold inside a git repository, .ignore files anywhere; the last rule that matches decides. Links are
-    not followed. A root that is a file is that file.
+    .gitignore files hold inside a git repository, from its top on, and its .git/info/exclude before them; .ignore files
+    hold anywhere, those of the folders above the root too. The last rule that matches decides, deeper ones later.
     """
-    import re
-
-    if os.path.isfile(root):
-        return [(root, os.path.getsize(root))]
-    probe, in_git = os.path.abspath(root), False
-    while not in_git and probe != os.path.dirname(probe):
-        in_git, probe = os.path.isdir(os.path.join(probe, ".git")), os.path.dirname(probe)
-    names = (".gitignore", ".ignore") if in_git else (".ignore",)
-    pruned = [re.compile(r) for p in ignore or [] if (r := globs.to_regex(globs.normalize(p), star_crosses=False))]
-    out: list[tuple[str, int]] = []
-
-    def visit(folder: str, rules: list) -> None:
-        rules = [*rules, *[(folder, *r) for r in _rules(folder, names)]]
+
+    def __init__(self, root: str, ignore: list[str] | None = None):
+        self.root, above = root, []
+        at = os.path.abspath(root)
+        while at != os.path.dirname(at):
+            above.append(at)
+            at = os.path.dirname(at)
+        repo = next((p for p in above if os.path.isdir(os.path.join(p, ".git"))), None)
+        self.names = (".gitignore", ".ignore") if repo else (".ignore",)
+        self.rules = [(repo, *r) for r in _rules(repo, (".git/info/exclude",))] if repo else []
+        for p in reversed(above[1:]):
+            inside = repo and (p == repo or p.startswith(f"{repo}/"))
+            self.rules += [(p, *r) for r in _rules(p, self.names if inside else (".ignore",))]
+        self.pruned = [re.compile(r) for p in ignore or [] if (r := globs.to_regex(globs.normalize(p), star_crosses=False))]
+
+    def listed(self, folder: str, rules: list) -> Iterator[os.DirEntry]:
+        """What is left of a folder, whose own rules are among the rules."""
         for e in sorted(os.scandir(folder), key=lambda x: x.name):
             is_dir = e.is_dir(follow_symlinks=False)
             if e.name in NEVER or not is_dir and not e.is_file(follow_symlinks=False):
@@ -92,21 +96,58 @@ def walk(root: str, ignore: list[str] | None = None) -> list[tuple[str, int]]:
             for base, regex, exclude, only in rules:
                 if (is_dir or not only) and re.match(regex, os.path.relpath(e.path, base)):
                     gone = exclude
-            below = os.path.relpath(e.path, root)
-            if gone or any(p.match(below) for p in pruned):
-                continue
-            if is_dir:
-                visit(e.path, rules)
+            below = os.path.relpath(e.path, self.root)
+            if not gone and not any(p.match(below) for p in self.pruned):
+                yield e
+
+    def with_own(self, folder: str, rules: list) -> list:
+        return [*rules, *[(folder, *r) for r in _rules(folder, self.names)]]
+
+    def files(self, folder: str, rules: list) -> Iterator[tuple[str, int]]:
+        rules = self.with_own(folder, rules)
+        for e in self.listed(folder, rules):
+            if e.is_dir(follow_symlinks=False):
+                yield from self.files(e.path, rules)
+            else:
+                yield e.path, e.stat(follow_symlinks=False).st_size
+
+    def tops(self) -> list[list[str]]:
+        """The root's entries, in order: each folder by itself, files between two folders together."""
+        if os.path.isfile(self.root):
+            return [[self.root]]
+        out, before = [], False
+        for e in [] if set(Path(self.root).parts) & set(NEVER) else self.listed(self.root, self.with_own(self.root, self.rules)):
+            is_file = not e.is_dir(follow_symlinks=False)
+            if is_file and before:
+                out[-1].append(e.path)
+            else:
+                out.append([e.path])
+            before = is_file
+        return out
+
+    def below(self, tops: list[str]) -> Iterator[tuple[str, int]]:
+        for path in tops:
+            if os.path.isdir(path) and path != self.root:
+                yield from self.files(path, self.with_own(self.root, self.rules))
             else:
-                out.append((e.path, e.stat(follow_symlinks=False).st_size))
+                yield path, os.path.getsize(path)
 
-    if not set(Path(root).parts) & set(NEVER):
-        visit(root, [])
-    return sorted(out, key=lambda x: x[0].split("/"))
+
+def walk(root: str, ignore: list[str] | None = None) -> list[tuple[str, int]]:
+    """(path, size) of the regular files below root in the order of path components. A root that is a file is that file."""
+    w = _Walk(root, ignore)
+    return [f for tops in w.tops() for f in w.below(tops)]
+
+
+#: Files of one partition of a listing, so that seq is in order over all partitions; more of them take the next numbers.
+PART_FILES = 1 << 32
 
 
 class SourceTree(DataSource):
-    """spark.read.format("source_tree").option("ignore", json list).load(root): seq, path and size; hidden names included."""
+    """spark.read.format("source_tree").option("ignore", json list).load(root): seq, path and size; hidden names included.
+
+    One partition for each folder in the root and for the files between two of them. seq orders the files, with gaps.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -124,10 +165,11 @@ class _TreeReader(DataSourceReader):
         self.root, self.ignore = options["path"], json.loads(options.get("ignore", "[]"))
 
     def partitions(self):
-        return [InputPartition(0)]
+        return [InputPartition(x) for x in enumerate(_Walk(self.root, self.ignore).tops())] or [InputPartition((0, []))]
 
     def read(self, partition):
-        yield from ((i, p, n) for i, (p, n) in enumerate(walk(self.root, self.ignore)))
+        nth, tops = partition.value
+        yield from ((nth * PART_FILES + i, p, n) for i, (p, n) in enumerate(_Walk(self.root, self.ignore).below(tops)))
 
 
 def scan_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
