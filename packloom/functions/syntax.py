@@ -6,22 +6,34 @@ import json
 
 import regex
 
-_DQ, _SQ = r'"(?:\\.|[^"\\\n])*+"', r"'(?:\\.|[^'\\\n])*+'"
-_LINE, _BLOCK = r"//[^\n]*", r"/\*.*?(?:\*/|\Z)"
+_DQ, _SQ = r'"(?:[^"\\\n]++|\\.)*+"', r"'(?:[^'\\\n]++|\\.)*+'"
+_TRIPLE = r'"""(?:[^"\\]++|\\.|"(?!""))*+"""'
+_LINE, _SPLICED, _BLOCK = r"//[^\n]*", r"//(?:\\\n|[^\n])*+", r"/\*.*?(?:\*/|(?!.))"
+#: Strings and comments in what Java's and Python's patterns have in common, so that Spark can strip these comments itself.
+PLAIN = {
+    "python": ([rf"[rRbBuUfF]{{0,2}}{_TRIPLE}", rf"[rRbBuUfF]{{0,2}}{_TRIPLE}".replace('"', "'"), _DQ, _SQ], [r"\#[^\n]*"]),
+    "c": ([_DQ, _SQ], [_SPLICED, _BLOCK]),
+    "go": ([r"`[^`]*`", _DQ, _SQ], [_LINE, _BLOCK]),
+    "java": ([_TRIPLE, _DQ, _SQ], [_LINE, _BLOCK]),
+    "csharp": ([r'(?:@\$?|\$@)"(?:""|[^"]++)*+"', rf"\$?{_DQ}", _SQ], [_LINE, _BLOCK]),
+}
 
 
 def _scanner(strings: list[str], comments: list[str]) -> regex.Pattern:
     return regex.compile(f"(?P<s>{'|'.join(strings)})|(?P<c>{'|'.join(comments)})", regex.S | regex.M)
 
 
-_C = _scanner([_DQ, _SQ], [r"//(?:\\\n|[^\n])*", _BLOCK])
+def java_pattern(lang: str) -> str:
+    """For regexp_replace with "$1": strings are kept, comments are not."""
+    strings, comments = PLAIN[lang]
+    return f"(?sm)({'|'.join(strings)})|{'|'.join(comments)}"
+
+
 _JS = _scanner([r"`(?:\\.|[^`\\])*+`", _DQ, _SQ, r"(?<=[(,=:\[!&|?{};]\s*|return\s*)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"], [_LINE, _BLOCK, r"\A#![^\n]*"])
 _SCANNERS = {
-    "python": _scanner([r'[rRbBuUfF]{0,2}"""(?:\\.|[^\\])*?"""', r"[rRbBuUfF]{0,2}'''(?:\\.|[^\\])*?'''", _DQ, _SQ], [r"\#[^\n]*"]),
-    "javascript": _JS, "typescript": _JS, "tsx": _JS, "c": _C, "cpp": _scanner([r'R"(?P<t>[^(\s]*)\(.*?\)(?P=t)"', _DQ, _SQ], [r"//(?:\\\n|[^\n])*", _BLOCK]),
+    **{lang: _scanner(*parts) for lang, parts in PLAIN.items()},
+    "javascript": _JS, "typescript": _JS, "tsx": _JS, "cpp": _scanner([r'R"(?P<t>[^(\s]*)\(.*?\)(?P=t)"', _DQ, _SQ], [_SPLICED, _BLOCK]),
     "rust": _scanner([r'b?r(?P<h>\#*)".*?"(?P=h)', r'b?"(?:\\.|[^"\\])*+"', r"b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'"], [_LINE, r"(?P<b>/\*(?:[^*/]++|\*(?!/)|/(?!\*)|(?&b))*+\*/)"]),
-    "go": _scanner([r"`[^`]*`", _DQ, _SQ], [_LINE, _BLOCK]), "java": _scanner([r'"""(?:\\.|[^\\])*?"""', _DQ, _SQ], [_LINE, _BLOCK]),
-    "csharp": _scanner([r'(?:@\$?|\$@)"(?:""|[^"])*"', r'\$?"(?:\\.|[^"\\\n])*+"', _SQ], [_LINE, _BLOCK]),
     "ruby": _scanner([r"<<[~-]?(?P<q>['\"]?)(?P<w>[A-Z_]\w*)(?P=q)[^\n]*\n.*?^[ \t]*(?P=w)\b", r'"(?:\\.|[^"\\])*+"', r"'(?:\\.|[^'\\])*+'"], [r"^=begin\b.*?^=end\b[^\n]*", r"\#(?!\{)[^\n]*"]),
     "php": _scanner([r'"(?:\\.|[^"\\])*+"', r"'(?:\\.|[^'\\])*+'"], [r"//(?:(?!\?>)[^\n])*", r"\#(?!\[)(?:(?!\?>)[^\n])*", _BLOCK]),
 }

@@ -31,7 +31,12 @@ def language(ext: Column) -> Column:
 
 
 def redact_secrets(text: Column) -> Column:
-    return F.regexp_replace(text, F.lit(SECRET), F.lit(REDACTED))
+    """SECRET replaced. The letters that a match can begin with are tested first, which is faster and changes nothing."""
+    return F.regexp_replace(text, F.lit("(?=[aAsSpPtTgG\u017f])" + SECRET), F.lit(REDACTED))
+
+
+def strip_html_comments(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
 
 
 def minify(text: Column) -> Column:
