@@ -8,11 +8,14 @@ from pyspark.sql.window import Window
 
 from packloom.functions import text as X
 from packloom.functions import udfs
+from packloom.operators.tracing import cut
 
 # Fixed values
 HEADER = "# Codebase Context\n\n"
 TRAILER = "\n*Output truncated: reached configured output size limit.*\n"
 DEFAULT_MAX_MB, LARGE_TOKENS = 100, 100_000
+#: A document of more bytes is not made as one row.
+MAX_ROW_BYTES = 1 << 30
 #: Files of one piece of the running sum; a piece is summed by one task.
 PIECE = 100_000
 
@@ -20,22 +23,26 @@ PIECE = 100_000
 def process(files: DataFrame, minify: bool = False) -> DataFrame:
     """Redact, then, with minify, strip comments (of known languages) and blank space."""
     out = X.redact_secrets(F.col("text"))
-    if minify:
-        out = X.minify(F.when(X.language(F.col("ext")).isNotNull(), udfs.strip_comments(out, F.col("ext"))).otherwise(out))
-    return files.withColumn("processed", out)
+    return files.withColumn("processed", X.minify(udfs.strip_comments(out, F.col("ext"))) if minify else out)
 
 
-def with_budget(files: DataFrame, max_bytes: int = DEFAULT_MAX_MB << 20) -> DataFrame:
-    """nbytes, cum_bytes (the header included) and whether the file is in, in the order of seq.
+def sized(files: DataFrame) -> DataFrame:
+    """path, seq if there is one, nbytes and block_bytes of processed files, made once: what follows moves these few numbers, not texts."""
+    own = ["seq"] if "seq" in files.columns else []
+    return cut(files.select("path", *own, F.octet_length("processed").cast("long").alias("nbytes"), F.octet_length(blocks()).cast("long").alias("block_bytes")))
+
+
+def with_budget(sizes: DataFrame, max_bytes: int = DEFAULT_MAX_MB << 20) -> DataFrame:
+    """cum_bytes (the header included) and whether the file is in, in the order of seq, for rows with seq and nbytes.
 
     Two levels, so that no task orders everything: sums of pieces of seq, then sums inside each piece.
     """
-    sized = files.withColumn("nbytes", F.octet_length("processed").cast("long")).withColumn("_piece", F.floor(F.col("seq") / PIECE))
-    pieces = sized.groupBy("_piece").agg(F.sum("nbytes").alias("_all"))
+    pieced = sizes.withColumn("_piece", F.floor(F.col("seq") / PIECE))
+    pieces = pieced.groupBy("_piece").agg(F.sum("nbytes").alias("_all"))
     before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.select("_piece", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
     own = Window.partitionBy("_piece").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = sized.join(starts, "_piece").withColumn("cum_bytes", F.col("_start") + F.sum("nbytes").over(own) + len(HEADER))
+    out = pieced.join(starts, "_piece").withColumn("cum_bytes", F.col("_start") + F.sum("nbytes").over(own) + len(HEADER))
     return out.withColumn("included", F.col("cum_bytes") <= max_bytes).drop("_piece", "_start")
 
 
@@ -43,18 +50,26 @@ def blocks() -> Column:
     return X.render_block(F.col("path"), F.col("ext"), F.col("processed"))
 
 
-def document(budgeted: DataFrame) -> DataFrame:
-    """One row: the document. Its size is bounded by the budget and the framing of its files."""
-    kept = F.when(F.col("included"), F.struct("seq", blocks().alias("block")))
-    made = budgeted.agg(F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["block"]), "").alias("body"), F.coalesce(F.bool_or(~F.col("included")), F.lit(False)).alias("truncated"))
-    return made.select(F.concat(F.lit(HEADER), "body", F.when(F.col("truncated"), TRAILER).otherwise("")).alias("document"), "truncated")
+def document_blocks(files: DataFrame, budgeted: DataFrame) -> DataFrame:
+    """seq and block of the files that are in, in order, for a document of any size. files: path, ext and processed."""
+    keys = ["path", "seq"] if "seq" in files.columns else ["path"]
+    return files.select(*keys, "ext", "processed").join(budgeted.where("included").select("path", "seq"), keys).select("seq", blocks().alias("block")).orderBy("seq")
+
+
+def document(files: DataFrame, budgeted: DataFrame) -> DataFrame:
+    """One row: the document. More than MAX_ROW_BYTES of it raise an error before any text is gathered; see document_blocks()."""
+    size, truncated = budgeted.agg(F.coalesce(F.sum(F.when(F.col("included"), F.col("block_bytes"))), F.lit(0)), F.coalesce(F.bool_or(~F.col("included")), F.lit(False))).first()
+    if size > MAX_ROW_BYTES:
+        raise ValueError(f"a document of {size} bytes is too large for one row")
+    made = document_blocks(files, budgeted).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block"))), lambda x: x["block"]), "").alias("body"))
+    return made.select(F.concat(F.lit(HEADER), "body", F.lit(TRAILER if truncated else "")).alias("document"), F.lit(truncated).alias("truncated"))
 
 
 def stats(budgeted: DataFrame, skipped: DataFrame) -> DataFrame:
     """files, skipped, output_bytes, tokens, truncated and large_payload, without making the document."""
-    cut = F.coalesce(F.bool_or(~F.col("included")), F.lit(False))
-    size = len(HEADER) + F.coalesce(F.sum(F.when(F.col("included"), F.octet_length(blocks()))), F.lit(0)) + F.when(cut, len(TRAILER)).otherwise(0)
-    made = budgeted.agg(F.count_if("included").alias("files"), size.cast("long").alias("output_bytes"), cut.alias("truncated"))
+    cut_off = F.coalesce(F.bool_or(~F.col("included")), F.lit(False))
+    size = len(HEADER) + F.coalesce(F.sum(F.when(F.col("included"), F.col("block_bytes"))), F.lit(0)) + F.when(cut_off, len(TRAILER)).otherwise(0)
+    made = budgeted.agg(F.count_if("included").alias("files"), size.cast("long").alias("output_bytes"), cut_off.alias("truncated"))
     made = made.withColumn("tokens", F.floor(F.col("output_bytes") / X.BYTES_PER_TOKEN)).withColumn("large_payload", F.col("tokens") > LARGE_TOKENS)
     return made.crossJoin(skipped.agg(F.count(F.lit(1)).alias("skipped"))).select("files", "skipped", "output_bytes", "tokens", "truncated", "large_payload")
 

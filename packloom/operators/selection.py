@@ -34,6 +34,15 @@ def ignored(patterns: list[str]) -> Column:
     return out
 
 
+def overridden(patterns: list[str]) -> Column:
+    """Whether a path or a folder above it is pruned from a walk: as ignored(), but a star stops at "/" and only paths are matched."""
+    out = F.lit(False)
+    for p in patterns:
+        if regex := globs.to_regex(globs.normalize(p), star_crosses=False):
+            out = out | F.col("path").rlike(regex[:-1] + "(?:/.*)?$")
+    return out
+
+
 def skip_reason(limit: int = MAX_FILE_BYTES, patterns: list[str] | None = None, no_limit: bool = False) -> Column:
     out = F.when(ignored(patterns or []), "ignored")
     return out if no_limit else F.when(F.col("size") > limit, "size").when(named_out(), "name").otherwise(out)

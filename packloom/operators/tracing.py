@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+#: Levels that are kept apart before they are written together.
+MAX_LEVELS = 30
 
-def _cut(df: DataFrame) -> DataFrame:
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, made once: a reliable checkpoint in the shared folder. Where no folder is set (local runs), in one of this machine."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp()}")
     return df.checkpoint()
 
 
 def reachable(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """node and depth for all that the entries (node) reach over edges (src, dst), themselves included; cycles end.
 
-    One join a level, against the nodes not seen before; the lineage is cut by a reliable checkpoint at each level.
+    One join a level, against the nodes not seen before; the lineage is cut by a reliable checkpoint at each level. Levels
+    are kept as they are, and only read again.
     """
-    edges = _cut(edges.select("src", "dst").where("dst is not null").distinct())
-    seen = frontier = _cut(entries.select("node").distinct().withColumn("depth", F.lit(0)))
-    while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = _cut(step.join(seen.select("node"), "node", "left_anti"))
-        seen = _cut(seen.unionByName(frontier))
-    return seen
+    edges = cut(edges.select("src", "dst").where("dst is not null").distinct())
+    levels = [cut(entries.select("node").distinct().withColumn("depth", F.lit(0)))]
+    while not levels[-1].isEmpty():
+        seen = functools.reduce(DataFrame.unionByName, levels)
+        step = levels[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        levels.append(cut(step.join(seen.select("node"), "node", "left_anti")))
+        if len(levels) > MAX_LEVELS:
+            levels = [cut(functools.reduce(DataFrame.unionByName, levels[:-1])), levels[-1]]
+    return functools.reduce(DataFrame.unionByName, levels)
 
 
 def by_path(files: DataFrame) -> DataFrame:
     """Files in the order of their paths' components."""
     return files.orderBy(F.split("path", "/"))
+
+
+def ranked(rows: DataFrame, name: str = "seq", first: int = 0) -> DataFrame:
+    """rows with a gapless rank in the order of path components, counted in range partitions: no task sees all rows.
+
+    The partitions are fixed by a checkpoint, as Spark may draw their borders anew each time; their numbers of rows, one
+    row a partition, are summed in one task. Equal paths have ranks in any order.
+    """
+    placed = cut(rows.repartitionByRange(F.split("path", "/")).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("_part").orderBy(F.split("path", "/"))
+    nth = (F.col("_start") + F.row_number().over(own) - 1 + first).cast("long")
+    return placed.join(starts, "_part").withColumn(name, nth).drop("_part", "_start")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
-from pathlib import Path
+import sys
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from packloom.functions import udfs
 from packloom.operators import packing, resolving, selection
 from packloom.sources import tree
 
+#: Where the document goes if a sink fails.
+FALLBACK = "packed-context.md"
+
 
 def _files(spark: SparkSession, path: str, mode: str, ignore: list[str]) -> tuple[DataFrame, str]:
     if mode == "diff":
@@ -52,8 +57,26 @@ def select(spark: SparkSession, path: str = ".", mode: str = "scan", no_limit: b
     return selection.partition(files, patterns=config.global_ignore, no_limit=no_limit)
 
 
-def pack(spark: SparkSession, path: str = ".", mode: str = "scan", minify: bool = False, no_limit: bool = False, output: str | None = None, config: tree.Config | None = None) -> tuple[str | None, dict | None]:
-    """The packed document and its statistics; (None, None), and nothing written, if no file is selected."""
+def deliver(parts: Iterable[str], output: str | None = None, sink: Callable[[str], None] | None = None, fallback: str = FALLBACK) -> None:
+    """Write the document to a file, or hand it to a sink such as a clipboard; where the sink fails, to the fallback file."""
+    if output is None and sink is not None:
+        parts = ["".join(parts)]
+        try:
+            return sink(parts[0])
+        except Exception as e:
+            print(f"warning: {e}; written to {fallback}", file=sys.stderr)
+    if output or sink:
+        with open(output or fallback, "w", encoding="utf-8", newline="") as f:
+            f.writelines(parts)
+    return None
+
+
+def pack(spark: SparkSession, path: str = ".", mode: str = "scan", minify: bool = False, no_limit: bool = False, output: str | None = None, config: tree.Config | None = None, sink: Callable[[str], None] | None = None, fallback: str = FALLBACK) -> tuple[str | None, dict | None]:
+    """The packed document and its statistics; (None, None), and nothing written, if no file is selected.
+
+    The document goes to the file `output`, or else to `sink`, or to neither. One that is too large for one row is
+    streamed to its file in the order of its blocks, and None stands in its place.
+    """
     config = config or tree.load_config()
     files, base = _files(spark, path, mode, config.global_ignore)
     split = selection.partition(files, patterns=config.global_ignore, no_limit=no_limit)
@@ -63,9 +86,14 @@ def pack(spark: SparkSession, path: str = ".", mode: str = "scan", minify: bool
     read = selection.readable(tree.with_content(kept, base))
     done = packing.process(read, minify or config.default_minify)
     limit = (packing.DEFAULT_MAX_MB if config.max_output_mb is None else config.max_output_mb) << 20
-    budgeted = packing.with_budget(done, limit)
-    text = packing.document(budgeted).first()["document"]
+    budgeted = packing.with_budget(packing.sized(done), limit)
     stats = packing.stats(budgeted, split.where("skip_reason is not null")).first().asDict()
-    if output:
-        Path(output).write_text(text, encoding="utf-8")
+    if stats["output_bytes"] > packing.MAX_ROW_BYTES:
+        if not output:
+            raise ValueError(f"a document of {stats['output_bytes']} bytes needs an output file")
+        body = (r["block"] for r in packing.document_blocks(done, budgeted).toLocalIterator())
+        deliver(itertools.chain([packing.HEADER], body, [packing.TRAILER] * stats["truncated"]), output)
+        return None, stats
+    text = packing.document(done, budgeted).first()["document"]
+    deliver([text], output, sink, fallback)
     return text, stats

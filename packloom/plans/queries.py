@@ -95,6 +95,15 @@ def filter_ignore_glob(spark, sf_dir):
     return _parts(spark, sf_dir).select("doc_id", selection.ignored(list(PATTERNS)).alias("ignored"))
 
 
+OVERRIDES = ("/src1", "en/*.py", "src[23]/**/f?.rs", "*.lock")
+
+
+@query(f"with {V} select doc_id from f where not (regexp_matches(path, '^src1(/|$)') or regexp_matches(path, '^en/[^/]*[.]py$') or regexp_matches(path, '^src[23]/(.*/)?f[^/][.]rs$') or regexp_matches(path, '^(.*/)?[^/]*[.]lock$'))")
+def filter_overrides(spark, sf_dir):
+    """Patterns that prune a walk: a star stops at "/", and what lies below an excluded folder goes."""
+    return files(spark, sf_dir).where(~selection.overridden(list(OVERRIDES))).select("doc_id")
+
+
 _GLOBS = ("*.csv", "**/*.json", "/foo.tmp", "dir/*.log", "//x", "  *.a ")
 
 
@@ -198,9 +207,40 @@ def strip_comments_py(spark, sf_dir):
     return d.select("doc_id", F.md5(F.when(whole, hashed).cast("binary")).alias("digest"))
 
 
+#: A language's extension, what stands before and after a string with the whole text, and what is left of both.
+COMMENTED = (
+    ("py", "#!x 'a\nb = 1  # c\ns = ", "  # it's\n", "\nb = 1  \ns = ", "  \n"),
+    ("js", "f(/a'b/); // 'c\ns = ", "; /* x\n' */ t = `// no`", "f(/a'b/); \ns = ", ";  t = `// no`"),
+    ("ts", "let a: T; /* \" */ s = ", " // y", "let a: T;  s = ", " "),
+    ("tsx", "/** d */ s = ", "// <b/>\nq", " s = ", "\nq"),
+    ("rs", "/* a /* ' */ b */ let s = ", "; // c\nr#\"// k\"#", " let s = ", "; \nr#\"// k\"#"),
+    ("go", "c := `/* k` // d\ns := ", " /* e\n\" */", "c := `/* k` \ns := ", " "),
+    ("c", "char c = '\"'; /* f ' */ s = ", "; // g \\\nh", "char c = '\"';  s = ", "; "),
+    ("cpp", "x = R\"z(// k)z\"; // l\ns = ", "; /* m", "x = R\"z(// k)z\"; \ns = ", "; "),
+    ("java", "/** n \" */ String s = ", "; // o", " String s = ", "; "),
+    ("cs", "p = @\"c:\\\"; // q\ns = ", "; /* r */", "p = @\"c:\\\"; \ns = ", "; "),
+    ("rb", "=begin\n' t\n=end\ns = ", " # u", "\ns = ", " "),
+    ("php", "# html '\n<?php # v\n$s = ", "; // w ?> // x", "# html '\n<?php \n$s = ", "; ?> // x"),
+)
+_QUOTED = """'"' || translate(text, '"\\#' || chr(10), '    ') || '"'"""
+
+
+def _sql(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"with c as (select * from (values {', '.join(f'({i}, {_sql(x[0])}, {_sql(x[3])}, {_sql(x[4])})' for i, x in enumerate(COMMENTED))}) t(i, ext, head, tail)) select doc_id, ext, md5(head || {_QUOTED} || tail) as digest from documents join c on c.i = doc_id % {len(COMMENTED)}")
+def strip_comments_languages(spark, sf_dir):
+    """Every language of the scanner: comments before and behind a string that holds the whole text."""
+    pick = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in COMMENTED]), (F.col("doc_id") % len(COMMENTED) + 1).cast("int"))
+    quoted = F.concat(F.lit('"'), F.translate("text", '"\\#\n', "    "), F.lit('"'))
+    d = _table(spark, sf_dir, "documents").select("doc_id", pick(0).alias("ext"), F.concat(pick(1), quoted, pick(2)).alias("text"))
+    return d.select("doc_id", "ext", F.md5(udfs.strip_comments(F.col("text"), F.col("ext")).cast("binary")).alias("digest"))
+
+
 @query("select page_id, strlen(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) as n_bytes from pages")
 def strip_comments_html(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.octet_length(F.regexp_replace("html", r"(?s)<!--.*?-->", "")).cast("long").alias("n_bytes"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.octet_length(X.strip_html_comments(F.col("html"))).cast("long").alias("n_bytes"))
 
 
 @query("""with r as (select l_orderkey as k, l_linenumber * 10 as s, l_linenumber * 10 + l_quantity::int as e from lineitem),
@@ -221,16 +261,11 @@ b as (select *, cum_bytes <= {BUDGET} as included, '### File: `' || path || '`'
 o as (select '# Codebase Context' || chr(10) || chr(10) || coalesce(string_agg(block, '' order by seq) filter (where included), '') || case when bool_or(not included) then chr(10) || '*Output truncated: reached configured output size limit.*' || chr(10) else '' end as document, bool_or(not included) as truncated, count(*) filter (where included) as files from b)"""
 
 
-def _sequenced(kept):
-    """seq in the order of path components: ranks inside range partitions would do at any size; here one sort of paths alone."""
-    paths = kept.select("path").withColumn("seq", (F.row_number().over(Window.orderBy(F.split("path", "/"))) - 1).cast("long"))
-    return kept.join(paths, "path")
-
-
 def _budgeted(spark, sf_dir, limit=LIMIT, budget=BUDGET):
+    """Processed files, their budget and the skipped ones."""
     split = selection.partition(files(spark, sf_dir), limit, list(PATTERNS))
-    kept = _sequenced(split.where("skip_reason is null"))
-    return packing.with_budget(packing.process(kept), budget), split.where("skip_reason is not null")
+    done = packing.process(split.where("skip_reason is null"))
+    return done, packing.with_budget(tracing.ranked(packing.sized(done)), budget), split.where("skip_reason is not null")
 
 
 @query(f"with {_RUN} select doc_id, md5(processed) as digest from b")
@@ -239,20 +274,31 @@ def process_file(spark, sf_dir):
     return packing.process(kept).select("doc_id", F.md5(F.col("processed").cast("binary")).alias("digest"))
 
 
+_MADE = """text || chr(10) || {} || 'API_KEY = "' || md5(text) || '"  ' || chr(10) || {} || 'end ;'"""
+
+
+@query(f"select doc_id, md5({MINIFY.replace('@text', REDACT.format(_MADE.format("'  ' || chr(10)", "' '")))}) as digest from documents")
+def process_minified(spark, sf_dir):
+    """Redaction, then comments, then blank space, in this order: comments with a quote, blank lines and a secret behind the whole text."""
+    made = F.concat("text", F.lit('\n// it\'s gone\n  \nAPI_KEY = "'), F.md5(F.col("text").cast("binary")), F.lit('"  \n/* a "\n\n b */ end ;'))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.lit("c").alias("ext"), made.alias("text"))
+    return packing.process(d, minify=True).select("doc_id", F.md5(F.col("processed").cast("binary")).alias("digest"))
+
+
 @query(f"with {_RUN} select seq, path, nbytes, cum_bytes, included from b")
 def pack_budget(spark, sf_dir):
-    return _budgeted(spark, sf_dir)[0].select("seq", "path", "nbytes", "cum_bytes", "included")
+    return _budgeted(spark, sf_dir)[1].select("seq", "path", "nbytes", "cum_bytes", "included")
 
 
 @query(f"with {_RUN} select md5(document) as digest, strlen(document) as n_bytes, truncated from o")
 def pack_document(spark, sf_dir):
-    d = packing.document(_budgeted(spark, sf_dir)[0])
+    d = packing.document(*_budgeted(spark, sf_dir)[:2])
     return d.select(F.md5(F.col("document").cast("binary")).alias("digest"), F.octet_length("document").cast("long").alias("n_bytes"), "truncated")
 
 
 @query(f"with {_RUN} select files, (select count(*) from f where {REASON} is not null) as skipped, strlen(document) as output_bytes, strlen(document) // 4 as tokens, truncated, strlen(document) // 4 > 100000 as large_payload from o")
 def pack_stats(spark, sf_dir):
-    return packing.stats(*_budgeted(spark, sf_dir))
+    return packing.stats(*_budgeted(spark, sf_dir)[1:])
 
 
 # The same with the limits of a real run, 1 MiB a file and 100 MiB in all.
@@ -270,23 +316,23 @@ def process_file_full(spark, sf_dir):
 
 @query(f"with {_FULL_RUN} select seq, path, nbytes, cum_bytes, included from b")
 def pack_budget_full(spark, sf_dir):
-    return _budgeted(spark, sf_dir, *FULL)[0].select("seq", "path", "nbytes", "cum_bytes", "included")
+    return _budgeted(spark, sf_dir, *FULL)[1].select("seq", "path", "nbytes", "cum_bytes", "included")
 
 
 @query(f"with {_FULL_RUN} select md5(document) as digest, strlen(document) as n_bytes, truncated from o")
 def pack_document_full(spark, sf_dir):
-    d = packing.document(_budgeted(spark, sf_dir, *FULL)[0])
+    d = packing.document(*_budgeted(spark, sf_dir, *FULL)[:2])
     return d.select(F.md5(F.col("document").cast("binary")).alias("digest"), F.octet_length("document").cast("long").alias("n_bytes"), "truncated")
 
 
 @query(f"with {_FULL_RUN} select files, (select count(*) from f where {_FULL_REASON} is not null) as skipped, strlen(document) as output_bytes, strlen(document) // 4 as tokens, truncated, strlen(document) // 4 > 100000 as large_payload from o")
 def pack_stats_full(spark, sf_dir):
-    return packing.stats(*_budgeted(spark, sf_dir, *FULL))
+    return packing.stats(*_budgeted(spark, sf_dir, *FULL)[1:])
 
 
 @query(f"with {V} select path, row_number() over (order by string_split(path, '/')) as nth from f")
 def path_sort(spark, sf_dir):
-    return tracing.by_path(files(spark, sf_dir)).select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("nth"))
+    return tracing.ranked(files(spark, sf_dir).select("path"), "nth", 1).select("path", "nth")
 
 
 # --- imports, resolution, tracing
@@ -322,26 +368,39 @@ def imports_c(spark, sf_dir):
     return _imports(spark, sf_dir, '#include <stdio.h>', "c", '#include "f%d.h"\n')
 
 
+#: One program a language: plain, nested, shared, commented out and outside imports.
 CORPUS = (
-    ("py", "main.py", "from helper import greet\nprint(greet())\n"), ("js", "main.js", "const h = require('./helper');\nh.run();\n"), ("ts", "main.ts", "import { run } from './helper';\nrun();\n"),
-    ("go", "main.go", 'package main\nimport (\n    "./util"\n)\nfunc main() {}\n'), ("java", "Main.java", "import com.example.Helper;\npublic class Main {}\n"), ("c", "main.c", '#include <stdio.h>\n#include "helper.h"\n'),
-    ("cs", "Program.cs", "using MyApp.Helper;\nclass Program {}\n"), ("rb", "main.rb", "require './helper'\nputs 'hi'\n"), ("php", "index.php", "<?php\nrequire './helper.php';\n?>\n"),
+    ("py", "start.py", "import draw.lines as dl, sys  # import no\ndef f():\n    from shapes import box\n'import no'\nfrom . import *\nfrom . import near, far as f2\n"),
+    ("js", "start.js", "const a = require('./paint'), b = 1;\nimport z from \"./zoom\";\n// require('./no')\nif (b) { import('./late').then(go); }\n"),
+    ("ts", "start.ts", "import type { Tone } from './tones';\nimport fs = require('node:fs');\nconst s = `import './no'`;\n"),
+    ("go", "start.go", 'package start\n\nimport g "./grid"\n\nfunc run() { g.Draw() } // import "no"\n'),
+    ("java", "Start.java", "import org.tint.Shade; // import no.No;\nclass Start { Shade s; }\n"),
+    ("c", "start.c", '#include <math.h>\n/* #include "no.h" */\n#  include "pen.h"\nint tip(void);\n'),
+    ("cs", "Start.cs", "using Tint.Wash;\nclass Start { void F() { using (var x = Open()) { } } }\n"),
+    ("rb", "start.rb", "require './brush'\nrequire_relative 'ink'\n# require './no'\n"),
+    ("php", "start.php", "<?php\nif ($a) { require_once __DIR__ . '/wall.php'; }\ninclude('./roof.php'); # include 'no'\n?> include 'no'\n"),
 )
-_GOLDEN = "values ('py', 'helper'), ('js', './helper'), ('ts', './helper'), ('go', './util'), ('java', 'com.example.Helper'), ('c', 'helper.h'), ('cs', 'MyApp.Helper'), ('rb', './helper'), ('php', './helper.php')"
+_GOLDEN = """values ('py', 0, 'draw.lines'), ('py', 1, 'dl'), ('py', 2, 'sys'), ('py', 3, 'shapes'), ('py', 4, '.near'), ('py', 5, '.far'), ('py', 6, '.f2'),
+('js', 0, './paint'), ('js', 1, './zoom'), ('js', 2, './late'), ('ts', 0, './tones'), ('ts', 1, 'fs'), ('go', 0, './grid'), ('java', 0, 'org.tint.Shade'), ('c', 0, 'pen.h'),
+('cs', 0, 'Tint.Wash'), ('rb', 0, './brush'), ('rb', 1, 'ink'), ('php', 0, '/wall.php'), ('php', 1, './roof.php')"""
+
+
+def _programs(spark):
+    return spark.createDataFrame(CORPUS, "corpus string, path string, text string").withColumn("ext", X.extension(F.col("path")))
 
 
-@query(f"select * from ({_GOLDEN}) t(corpus, spec)")
+@query(f"select * from ({_GOLDEN}) t(corpus, ord, spec)")
 def imports_golden(spark, sf_dir):
-    d = spark.createDataFrame(CORPUS, "corpus string, path string, text string").withColumn("ext", X.extension(F.col("path")))
-    return d.select("corpus", F.explode(udfs.extract_imports("text", "ext")).alias("spec"))
+    return _programs(spark).select("corpus", F.posexplode(udfs.extract_imports("text", "ext")).alias("ord", "spec"))
 
 
-_INVENTORY = ("py/helper.py", "js/helper.js", "ts/helper/index.ts", "go/util/util.go", "java/src/com/example/Helper.java", "java/package.json", "c/helper.h", "cs/MyApp/Helper.cs", "cs/.git/HEAD", "rb/helper.rb", "php/helper.php")
+_INVENTORY = ("py/src/draw/lines.py", "py/setup.py", "py/shapes/box.py", "py/shapes/__init__.py", "js/paint/index.jsx", "js/zoom.js", "js/late/late.tsx", "ts/tones.ts", "go/grid/grid.go", "java/src/org/tint/Shade.java", "java/package.json", "c/pen.h", "cs/Tint/Wash/Wash.cs", "cs/.git/HEAD", "rb/brush.rb", "php/roof.php")
 
 
-@query("select * from (values ('py', 'helper', 'py/helper.py'), ('js', './helper', 'js/helper.js'), ('ts', './helper', 'ts/helper/index.ts'), ('go', './util', 'go/util/util.go'), ('java', 'com.example.Helper', 'java/src/com/example/Helper.java'), ('c', 'helper.h', 'c/helper.h'), ('cs', 'MyApp.Helper', 'cs/MyApp/Helper.cs'), ('rb', './helper', 'rb/helper.rb'), ('php', './helper.php', 'php/helper.php')) t(corpus, spec, dst)")
+@query("""select * from (values ('py', 'draw.lines', 'py/src/draw/lines.py'), ('py', 'shapes', 'py/shapes/__init__.py'), ('js', './paint', 'js/paint/index.jsx'), ('js', './zoom', 'js/zoom.js'), ('js', './late', 'js/late/late.tsx'), ('ts', './tones', 'ts/tones.ts'),
+('go', './grid', 'go/grid/grid.go'), ('java', 'org.tint.Shade', 'java/src/org/tint/Shade.java'), ('c', 'pen.h', 'c/pen.h'), ('cs', 'Tint.Wash', 'cs/Tint/Wash/Wash.cs'), ('rb', './brush', 'rb/brush.rb'), ('php', './roof.php', 'php/roof.php')) t(corpus, spec, dst)""")
 def resolve_golden(spark, sf_dir):
-    d = spark.createDataFrame(CORPUS, "corpus string, path string, text string").withColumn("ext", X.extension(F.col("path"))).withColumn("folder", F.col("corpus"))
+    d = _programs(spark).withColumn("folder", F.col("corpus"))
     d = d.select("corpus", "folder", F.concat_ws("/", "corpus", "path").alias("path"), "ext", udfs.extract_imports("text", "ext").alias("specs"))
     listed = d.select("corpus", "folder", "path", "ext", "specs").unionByName(spark.createDataFrame([(p,) for p in _INVENTORY], "path string"), allowMissingColumns=True)
     out = resolving.edges(listed, resolving.project_roots(d, listed))
