@@ -1,6 +1,7 @@
 """Selection, cleaning, tracing and packing on small trees and literals."""
 
 import os
+import random
 import subprocess
 
 import pytest
@@ -8,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from packloom.functions import globs, syntax
+from packloom.functions import globs, syntax, udfs
 from packloom.functions import text as X
-from packloom.operators import packing, selection
+from packloom.operators import packing, selection, tracing
 from packloom.plans import engine
 from packloom.sources import tree
 
@@ -30,23 +31,34 @@ def packed(spark, root, files, entry=None, **options):
     return engine.pack(spark, os.path.join(at, entry) if entry else at, mode="trace" if entry else "scan", config=options.pop("config", PLAIN), **options)
 
 
+#: Entry, files, and those that the trace reaches beside the entry.
 TRACES = [
-    ("main.py", {"main.py": "from helper import greet\nprint(greet())\n", "helper.py": "x"}, 2), ("main.js", {"main.js": "const h = require('./helper');\nh.run();\n", "helper.js": ""}, 2),
-    ("main.ts", {"main.ts": "import { run } from './helper';\nrun();\n", "helper.ts": ""}, 2), ("main.go", {"main.go": 'package main\nimport (\n    "./util"\n)\nfunc main() {}\n', "util/util.go": ""}, 2),
-    ("Main.java", {"Main.java": "import com.example.Helper;\npublic class Main {}\n", "com/example/Helper.java": "", "package.json": "{}"}, 2),
-    ("main.c", {"main.c": '#include <stdio.h>\n#include "helper.h"\n', "helper.h": "", "helper.c": ""}, 2), ("main.cpp", {"main.cpp": '#include <iostream>\n#include "helper.h"\n', "helper.h": ""}, 2),
-    ("Program.cs", {"Program.cs": "using MyApp.Helper;\nclass P {}\n", "MyApp/Helper.cs": "", "setup.py": ""}, 2), ("main.rb", {"main.rb": "require './helper'\n", "helper.rb": ""}, 2),
-    ("index.php", {"index.php": "<?php\ninclude './helper.php';\ninclude_once './helper2.php';\n?>\n", "helper.php": "", "helper2.php": ""}, 3), ("main.py", {"main.py": "import pkg.helper\n", "pkg/helper.py": ""}, 2),
-    ("main.py", {"main.py": "from . import helper\n", "helper.py": "import main\n"}, 2), ("main.js", {"main.js": "import('./helper.js').then(m => m.run());\n", "helper.js": ""}, 2),
-    ("main.js", {"main.js": "import React from 'react';\n"}, 1), ("main.py", {"main.py": "import os\n"}, 1), ("main.py", {"main.py": "from ..x import y\n", "x.py": ""}, 1),
+    ("run.py", {"run.py": "def f():\n    from paint import dip\n", "paint.py": "", "other.py": ""}, ["paint.py"]),
+    ("run.py", {"run.py": "import art.ink as i\n", "art/ink.py": "from .pen import nib\n", "art/pen.py": "", "pen.py": ""}, ["art/ink.py", "art/pen.py"]),
+    ("run.py", {"run.py": "from . import hue\n", "hue.py": "import run\n"}, ["hue.py"]),
+    ("run.py", {"run.py": "import json, sys\nfrom ..up import x\n", "up.py": ""}, []),
+    ("run.js", {"run.js": "let a = require('./a'), b;\n", "a.js": "export * from './no';\nimport './b.js';\n", "b.js": "", "no.js": ""}, ["a.js", "b.js"]),
+    ("run.js", {"run.js": "if (1) import('./late.js');\n", "late.js": ""}, ["late.js"]),
+    ("run.js", {"run.js": "import Vue from 'vue';\n"}, []),
+    ("run.ts", {"run.ts": "import type { T } from './t';\nimport { u } from './u';\n", "t.ts": "", "u/index.tsx": ""}, ["t.ts", "u/index.tsx"]),
+    ("run.go", {"run.go": 'package run\n\nimport (\n\tp "./plot"\n)\n', "plot/plot.go": "", "plot/more.go": ""}, ["plot/plot.go"]),
+    ("Run.java", {"Run.java": "package a;\nimport org.dye.Vat;\n", "org/dye/Vat.java": ""}, ["org/dye/Vat.java"]),
+    ("run.c", {"run.c": '#include <stdlib.h>\n#include "rim.h"\n', "rim.h": "", "rim.c": "", "stdlib.h": ""}, ["rim.h"]),
+    ("run.c", {"run.c": '#include "sub/rim.h"\n', "sub/rim.h": '#include "edge.h"\n', "sub/edge.h": "", "edge.h": ""}, ["sub/rim.h", "sub/edge.h"]),
+    ("run.cpp", {"run.cpp": '#include <vector>\n#include "rim.hpp"\n', "rim.hpp": ""}, ["rim.hpp"]),
+    ("Run.cs", {"Run.cs": "using Dye.Vat;\nclass Run {}\n", "Dye/Vat.cs": ""}, ["Dye/Vat.cs"]),
+    ("run.rb", {"run.rb": "require './vat'\n", "vat.rb": ""}, ["vat.rb"]),
+    ("run.rb", {"run.rb": "require_relative './dye/vat'\n", "dye/vat.rb": ""}, ["dye/vat.rb"]),
+    ("run.php", {"run.php": "<?php\ninclude_once './a.php';\nif (1) { require './b.php'; }\n?>\ninclude './no.php';\n", "a.php": "", "b.php": "", "no.php": ""}, ["a.php", "b.php"]),
 ]
 
 
-@pytest.mark.parametrize("entry,files,n", TRACES[:2] + TRACES[3:6] + TRACES[9:12] + TRACES[15:])
-def test_trace(spark, tmp_path, entry, files, n):
+@pytest.mark.parametrize("entry,files,reached", TRACES)
+def test_trace(spark, tmp_path, entry, files, reached):
     files = {"setup.py": "", **files}  # a project's root, so that nothing above the folder is listed
-    made(tmp_path, files)
-    assert engine.trace(spark, str(tmp_path / entry), str(tmp_path)).count() == n
+    at = made(tmp_path, files)
+    got = [r.path[len(at) + 1 :] for r in engine.trace(spark, str(tmp_path / entry), str(tmp_path)).orderBy("seq").collect()]
+    assert got == sorted([entry, *reached], key=lambda p: p.split("/"))
 
 
 def test_trace_follows_aliases(spark, tmp_path):
@@ -74,12 +86,6 @@ def test_alias_patterns():
     assert [syntax.alias_patterns(t) for t in ("[]", "{,}", '{"compilerOptions": {"baseUrl": 1}}', '{"compilerOptions": {"paths": {"a": "b"}}}')] == [None] * 4
 
 
-@pytest.mark.parametrize("entry,files,n", TRACES)
-def test_imports_name_something(entry, files, n):
-    found = syntax.imports(files[entry], X.LANGUAGES[entry.rpartition(".")[2]])
-    assert bool(found)
-
-
 def test_scan_ignores_and_filters(spark, tmp_path):
     (tmp_path / ".git").mkdir()
     doc, stats = packed(spark, tmp_path, {".gitignore": "ignored.txt\n", "main.py": "print('hello')\n", "ignored.txt": "no", "data.bin": b"\x00\x01", "big.txt": "x" * (1 << 20) + "x", "fits.txt": "y" * (1 << 20), "a.lock": "", "a.min.js": "", "bad.txt": b"\xff\xfe\xfa", "target/t.py": ""})
@@ -89,13 +95,45 @@ def test_scan_ignores_and_filters(spark, tmp_path):
 
 
 def test_minify_redact_budget(spark, tmp_path):
-    files = {"lib.rs": '// gone\nfn answer() -> i32 { 42 }   \n\n\nconst API_KEY: &str = "abcdef1234567890abcdef";\nconst API_KEY: &str = "short";\n'}
+    files = {"paint.rs": '// gone\nfn hue(n: u8) -> u8 { n / 2 }   \n\n\nstatic SECRET_KEY: &str = "0123456789abcdefghij-_";\nstatic API_KEY: &str = "brief";\n'}
+    files |= {"keys.py": 'TOKEN = "ghp_0a1b2c3d4e5f6a7b8c9d"\nmy_password: str = \'long.enough.to.hide\'\n'}
     doc, stats = packed(spark, tmp_path, files, minify=True)
-    assert "gone" not in doc and "fn answer() -> i32 { 42 }\nconst [REDACTED_SECRET];\n" in doc and '"short"' in doc
+    assert "gone" not in doc and "fn hue(n: u8) -> u8 { n / 2 }\nstatic [REDACTED_SECRET];\n" in doc and '"brief"' in doc
+    assert doc.count("[REDACTED_SECRET]") == 3 and "ghp_" not in doc and "long.enough" not in doc
     doc, stats = packed(spark, tmp_path, {}, config=tree.Config(max_output_mb=0))
     assert stats["truncated"] and stats["files"] == 0 and doc == packing.HEADER + packing.TRAILER
 
 
+def test_sinks(spark, tmp_path, monkeypatch, capsys):
+    files, out, spare, got = {"a.py": "x\r\n", "b/c.py": "é\n", "b.py": ""}, tmp_path / "out.md", tmp_path / "spare.md", []
+    def broken(text):
+        raise OSError("no clipboard")
+    doc, stats = packed(spark, tmp_path / "t", files, output=str(out))
+    assert out.read_bytes().decode() == doc and stats["output_bytes"] == len(doc.encode())
+    packed(spark, tmp_path / "t", files, sink=got.append, fallback=str(spare))
+    assert got == [doc] and not spare.exists()
+    packed(spark, tmp_path / "t", files, sink=broken, fallback=str(spare))
+    assert spare.read_bytes().decode() == doc and "no clipboard" in capsys.readouterr().err
+    monkeypatch.setattr(packing, "MAX_ROW_BYTES", 10)
+    out.unlink()
+    assert packed(spark, tmp_path / "t", files, output=str(out)) == (None, stats) and out.read_bytes().decode() == doc
+    with pytest.raises(ValueError):
+        packed(spark, tmp_path / "t", files)
+
+
+def test_walk_obeys_rules_above_the_root(spark, tmp_path):
+    (tmp_path / ".git/info").mkdir(parents=True)
+    made(tmp_path, {".git/info/exclude": "*.log\n", ".gitignore": "/sub/no.py\n*.tmp\nout/\n", "sub/.gitignore": "!keep.tmp\n", ".ignore": "never.py\n"})
+    at = made(tmp_path / "sub", {"no.py": "", "yes.py": "", "a.log": "", "b.tmp": "", "keep.tmp": "", "out/x.py": "", "deep/no.py": "", "deep/never.py": "", "deep/out": "", "a/1.py": "", "b.py": "", "c.py": ""})
+    want = [".gitignore", "a/1.py", "b.py", "c.py", "deep/no.py", "deep/out", "keep.tmp", "yes.py"]
+    assert [p[len(at) + 1 :] for p, _ in tree.walk(at)] == want
+    listed = tree.scan_tree(spark, at)
+    assert [r.path[len(at) + 1 :] for r in listed.orderBy("seq").collect()] == want and listed.rdd.getNumPartitions() == 5
+    assert [p for p, _ in tree.walk(f"{at}/yes.py")] == [f"{at}/yes.py"] and tree.walk(f"{at}/out/..")[0][0].endswith(".gitignore")
+    (tmp_path / "empty").mkdir()
+    assert tree.scan_tree(spark, str(tmp_path / "empty")).collect() == []
+
+
 def test_nothing_selected_and_dry_run(spark, tmp_path):
     assert packed(spark, tmp_path, {"a.lock": ""}) == (None, None)
     assert {r.name: r.skip_reason for r in engine.select(spark, made(tmp_path, {"b.py": "", "c.csv": ""}), config=tree.Config(global_ignore=["*.csv"])).collect()} == {"a.lock": "name", "b.py": None}
@@ -131,6 +169,31 @@ def test_comments(lang, source, left):
     assert syntax.strip_comments(source, lang) == left
 
 
+@pytest.mark.parametrize("lang", syntax.PLAIN)
+def test_comments_in_spark_are_those_of_the_scanner(spark, lang):
+    rng, ext = random.Random(3), {"python": "py", "csharp": "cs"}.get(lang, lang)
+    bits = ["\"", "'", "`", "\\", "\n", "/", "*", "//", "/*", "*/", "#", '"""', "'''", "@\"", '""', "r", "x", " ", "é", "$"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ['"' + "a\\n" * 200_000 + '" # x', "/*" + "y" * 300_000, "# " + "z\\" * 100_000, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("ext", F.lit(ext))
+    got = [r[0] for r in d.orderBy("i").select(udfs.strip_comments(F.col("text"), F.col("ext"))).collect()]
+    assert got == [None if t is None else syntax.strip_comments(t, lang) for t in texts]
+
+
+def test_ranks_over_partitions(spark):
+    rng = random.Random(4)
+    paths = [f"{rng.choice('abc')}/{rng.choice(['x', 'x-y', 'x.z'])}/{i}" for i in range(500)] + ["a/x", "a", "", "b/x/1", "b/x/1"]
+    got = tracing.ranked(spark.createDataFrame([(p,) for p in paths], "path string").repartition(7), "nth", 1).orderBy("nth").collect()
+    assert [r.path for r in got] == sorted(paths, key=lambda p: p.split("/")) and [r.nth for r in got] == list(range(1, len(paths) + 1))
+    assert tracing.ranked(spark.createDataFrame([], "path string")).collect() == []
+
+
+def test_reachable_over_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(tracing, "MAX_LEVELS", 3)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 3), (0, 5), (20, 21), (4, None)], "src long, dst long")
+    got = {r.node: r.depth for r in tracing.reachable(spark.createDataFrame([(0,), (0,)], "node long"), edges).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 2, 7: 3, 8: 4, 9: 5}
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\r\n\x0b\u00a0\u0085\u2028\u3000\u200b\u00e9", max_size=30), max_size=5))
 def test_minify_matches_python(texts):
@@ -148,7 +211,7 @@ def test_minify_uses_few_examples(spark):
 
 
 def test_budget_edges(spark):
-    rows = spark.createDataFrame([(0, "a", "x", "12345"), (1, "b", "x", "é")], "seq long, path string, ext string, processed string")
+    rows = packing.sized(spark.createDataFrame([(0, "a", "x", "12345"), (1, "b", "x", "é")], "seq long, path string, ext string, processed string"))
     at = lambda n: [r.included for r in packing.with_budget(rows, n).orderBy("seq").collect()]
     assert (at(27), at(26), at(24)) == ([True, True], [True, False], [False, False])
 
