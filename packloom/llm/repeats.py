@@ -11,6 +11,7 @@ runs found lie in files, so that a task holds numbers for each stretch (order, a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import pickle
 import tempfile
@@ -28,6 +29,8 @@ from packloom.llm.common import drop, written
 K = 32
 #: Stretches that are worked on at once, unless one minimiser has more.
 AT_ONCE = 16_384
+#: Places of a minimiser from which on its stretches are split, and into how many parts at a time.
+HOT, PARTS = 65_536, 8
 #: Bits of a packed minimiser that hold its place in a window of a block of texts.
 PLACE_BITS = 27
 
@@ -91,7 +94,35 @@ def _stretches(least: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([k[0] for k, _ in items], pa.int64()), pa.array([k[1] for k, _ in items], pa.binary()), pa.array([k[2] for k, _ in items], pa.int32()),
                     pa.array([[keys[r] for r, _ in v] for _, v in items], pa.list_(pa.binary())), pa.array([[s for _, s in v] for _, v in items], pa.list_(pa.int64())),
-                ], names=["anchor", "bytes", "lead", "keys", "starts"])
+                    pa.array([len(v) > 1 for _, v in items], pa.bool_()),
+                ], names=["anchor", "bytes", "lead", "keys", "starts", "several"])
+
+    return run
+
+
+def _split(least: int):
+    """From stretches (or pieces of them) with the places lo to hi that their minimiser may have in a string, pieces for PARTS parts of these places.
+
+    Strings of one part share the bytes that all its strings have, its core. So equal strings lie in pieces of one group,
+    named by part and core; a group's pieces have fewer columns that differ, and equal pieces have one id. At one place a
+    part the core is the whole string, and a group has one id.
+    """
+    named = lambda *x: hashlib.blake2b(b"%d %d " % x[:2] + x[2], digest_size=16).digest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, len(batch), 256):
+                out = []
+                for r in batch.slice(part, 256).to_pylist():
+                    data, lead, step = r["bytes"], r["lead"], -(-(r["hi"] - r["lo"] + 1) // PARTS)
+                    for lo in range(r["lo"], r["hi"] + 1, step):
+                        hi = min(lo + step - 1, r["hi"])
+                        if max(lo, lead + least - len(data)) <= min(hi, lead):
+                            a, b = max(0, lead - hi), min(len(data), lead + least - lo)
+                            group, piece = named(lo, hi, data[lead - lo : lead + least - hi]), data[a:b]
+                            out.append({"group": group, "id": named(lead - a, 0, group + piece), "lo": lo, "hi": hi, "bytes": piece, "lead": lead - a, "keys": r["keys"], "starts": [x + a for x in r["starts"]]})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("group", pa.binary()), ("id", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary()), ("lead", pa.int32()), ("keys", pa.list_(pa.binary())), ("starts", pa.list_(pa.int64()))]))
 
     return run
 
@@ -171,7 +202,7 @@ class _Held:
         pickle.dump((r["keys"], r["starts"]), self.places)
         self.sizes.append(len(r["bytes"]))
         self.leads.append(r["lead"])
-        self.several.append(len(r["keys"]) > 1)
+        self.several.append(r["several"])
         self.anchor = r["anchor"]
 
     def found(self, least: int) -> Iterator[pa.RecordBatch]:
@@ -219,24 +250,53 @@ def _repeated(least: int):
     return run
 
 
+def _without(data: bytes, spans: list[dict]) -> tuple[bytes, int]:
+    """The bytes outside the spans, and how many runs go."""
+    rest, at, end, runs = [], 0, -1, 0
+    for s in sorted(spans, key=lambda x: x["from"]):
+        if s["from"] > end:
+            rest.append(data[at : s["from"]])
+            runs += 1
+            end = at = s["to"]
+        elif s["to"] > end:
+            end = at = s["to"]
+    return b"".join([*rest, data[at:]]), runs
+
+
+CUT = "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_bytes bigint, kept_text string"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, text, spans, passages), what goes with the spans, and the text without the passages."""
     for batch in batches:
         for a in range(0, len(batch), 256):
             out = []
             for r in batch.slice(a, 256).to_pylist():
-                data, rest, at, removed, spans = r["text"].encode(), [], 0, 0, 0
-                end = -1
-                for s in sorted(r["spans"], key=lambda x: x["from"]):
-                    if s["from"] > end:
-                        rest.append(data[at : s["from"]])
-                        spans += 1
-                        end = at = s["to"]
-                    elif s["to"] > end:
-                        end = at = s["to"]
-                rest.append(data[at:])
-                kept = b"".join(rest)
-                out.append({"key": r["key"], "n_removed": len(data) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore")})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]))
+                data = r["text"].encode()
+                kept, runs = _without(data, r["spans"] or [])
+                rest, _ = _without(data, r["passages"])
+                out.append({"key": r["key"], "n_removed": len(data) - len(kept), "n_spans": runs, "kept_sha256": hashlib.sha256(kept).hexdigest(), "n_passage_bytes": len(data) - len(rest), "kept_text": rest.decode("utf-8", "ignore")})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_bytes", pa.int64()), ("kept_text", pa.string())]))
+
+
+def _fragments(least: int):
+    """From (key, text, passages) the runs of passages of `least` bytes and more, which have all longer strings that repeat: key and place, and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                out = []
+                for r in batch.slice(a, 256).to_pylist():
+                    data, runs = r["text"].encode(), []
+                    for s in sorted(r["passages"], key=lambda x: x["from"]):
+                        if runs and s["from"] <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], s["to"])
+                        else:
+                            runs.append([s["from"], s["to"]])
+                    out += [{"key": r["key"] + x.to_bytes(8), "text": data[x:y]} for x, y in runs if y - x >= least]
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("text", pa.binary())]))
+
+    return run
 
 
 def _key(docs: DataFrame) -> F.Column:
@@ -248,49 +308,107 @@ def _sha(docs: DataFrame) -> F.Column:
     return F.sha2(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8"), 256)
 
 
-def _cleaned(docs: DataFrame, least: int) -> DataFrame:
-    """(key, n_removed, n_spans, kept_sha256, kept_text) for the texts, by key, that lose bytes to other places than whole copies."""
-    texts = docs.select(_key(docs).alias("key"), docs["text"].alias("text")).where(F.octet_length("text") >= least)
-    anchors = written(texts.select("key", "text").mapInArrow(_anchors(least), "key binary, anchor bigint, place bigint").distinct(), "anchors")
-    twice = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+SPANS = "key binary, `from` bigint, `to` bigint"
+
+
+def _hot_spans(stretches: DataFrame, least: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """What _repeated finds, for the stretches of frequent minimisers, split until no group has more than HOT unlike pieces; and the tables behind it."""
+    out, tables, rows = [], [], stretches.select(F.lit(0).alias("lo"), F.lit(least - K).alias("hi"), "bytes", "lead", "keys", "starts")
+    while True:
+        fields = "group binary, id binary, lo int, hi int, bytes binary, lead int, keys array<binary>, starts array<bigint>"
+        pieces = written(rows.mapInArrow(_split(least), fields), "pieces")
+        first = [F.first(c).alias(c) for c in ("lo", "hi", "bytes", "lead")]
+        unlike = written(pieces.groupBy("group", "id").agg(*first, (F.sum(F.size("keys")) > 1).alias("several")), "unlike")
+        large = written(unlike.groupBy("group").count().where(F.col("count") > HOT).select("group"), "large")
+        done = unlike.join(large, "group", "left_anti").select(F.xxhash64("group").alias("anchor"), "bytes", "lead", F.array("id").alias("keys"), F.array(F.lit(0).cast("long")).alias("starts"), "several")
+        found = written(done.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(least), SPANS).withColumnRenamed("key", "id"), "found")
+        places = pieces.select("id", F.explode(F.arrays_zip("keys", "starts")).alias("at"))
+        out.append(found.join(places, "id").select(F.col("at.keys").alias("key"), (F.col("from") + F.col("at.starts")).alias("from"), (F.col("to") + F.col("at.starts")).alias("to")))
+        tables += [pieces, unlike, large, found]
+        if large.isEmpty():
+            return out, tables
+        rows = pieces.join(large, "group", "left_semi").select("lo", "hi", "bytes", "lead", "keys", "starts")
+
+
+def _repeats(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """For (key, text), where equal keys have equal texts: tables of the suspects (key, text) and of the repeats (key, spans) among them."""
+    texts = texts.where(F.octet_length("text") >= least)
+    anchors = written(texts.mapInArrow(_anchors(least), "key binary, anchor bigint, place bigint").distinct(), "anchors")
+    twice = written(anchors.groupBy("anchor").count().where("count > 1"), "twice")  # a table: then Spark can split the rows of a frequent minimiser
     wanted = anchors.join(twice, "anchor", "left_semi").groupBy("key").agg(F.collect_list("place").alias("places"))
     once = texts.groupBy("key").agg(F.first("text").alias("text"))
     suspects = written(once.join(wanted, "key").select("key", "text", "places"), "suspects")
     drop(anchors)
-    stretches = suspects.mapInArrow(_stretches(least), "anchor bigint, bytes binary, lead int, keys array<binary>, starts array<bigint>")
-    spans = stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(least), "key binary, `from` bigint, `to` bigint")
-    per_text = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    cleaned = written(suspects.drop("places").join(per_text, "key").mapInArrow(_cut, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"), "cleaned")
-    drop(suspects)
+    stretches = suspects.mapInArrow(_stretches(least), "anchor bigint, bytes binary, lead int, keys array<binary>, starts array<bigint>, several boolean")
+    tables = [twice, written(twice.where(F.col("count") > HOT).select("anchor"), "hot")]
+    hot = tables[-1]
+    any_hot = not hot.isEmpty()
+    usual = stretches.join(hot, "anchor", "left_anti") if any_hot else stretches
+    spans = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(least), SPANS)
+    if any_hot:
+        found, more = _hot_spans(stretches.join(hot, "anchor", "left_semi"), least)
+        spans, tables = functools.reduce(DataFrame.unionByName, found, spans), tables + more
+    per_text = written(spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
+    for t in tables:
+        drop(t)
+    return suspects, per_text
+
+
+def _cleaned(docs: DataFrame, least: int, passage: int | None = None) -> DataFrame:
+    """CUT for the texts, by key, that lose bytes to other places than whole copies: spans of `least` bytes and passages of `passage` (as `least`, if None).
+
+    Longer strings that repeat lie in runs of shorter ones, so that only these are looked through again.
+    """
+    suspects, short = _repeats(docs.select(_key(docs).alias("key"), docs["text"].alias("text")), passage or least)
+    passages = suspects.select("key", "text").join(short.withColumnRenamed("spans", "passages"), "key")
+    tables = [suspects, short]
+    if passage is None or passage == least:
+        both = passages.withColumn("spans", F.col("passages"))
+    else:
+        fragments = written(passages.mapInArrow(_fragments(least), "key binary, text binary"), "fragments")
+        again, long = _repeats(fragments, least)
+        placed = long.select(F.substring("key", 1, 16).alias("whole"), F.conv(F.hex(F.substring("key", 17, 8)), 16, 10).cast("long").alias("place"), "spans")
+        moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("place")).alias("from"), (s["to"] + F.col("place")).alias("to")))
+        long_spans = placed.select(F.col("whole").alias("key"), moved.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        both = passages.join(long_spans, "key", "left")
+        tables += [fragments, again, long]
+    cleaned = written(both.select("key", "text", "spans", "passages").mapInArrow(_cut, CUT), "cleaned")
+    for t in tables:
+        drop(t)
     return cleaned
 
 
-def removals(docs: DataFrame, least: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document.
+def removals(docs: DataFrame, least: int = 400, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document; with `passage` (at most `least`) also n_passage_bytes and kept_text.
 
     A byte goes if a string of `least` bytes that covers it also starts anywhere else, in the same document or another;
     strings overlap, are judged on the input, and never cross documents. Texts that several rows have go wholly if they
-    have `least` bytes. Texts are shuffled once, to bring copies together; what follows moves suspects only.
+    have `least` bytes. Texts are shuffled once, to bring copies together, and once more for kept_text; what else follows
+    moves suspects only. n_passage_bytes counts, and kept_text leaves out, what is covered by strings of `passage` bytes
+    in the same way; of characters that are cut in two, kept_text has nothing.
 
     Null text: empty. Rows that repeat are copies of each other. An empty table gives no rows. Only doc_id and text are
     read. A span is a maximal run of removed bytes.
     """
-    rows = docs.select(docs["doc_id"], _key(docs).alias("key"), _sha(docs).alias("sha"), F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long").alias("n_bytes"))
-    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > 1")
-    cleaned = _cleaned(docs, least).drop("kept_text")
-    both = rows.join(copies, "key", "left").join(cleaned, "key", "left")
-    gone = (F.col("n") > 1) & (F.col("n_bytes") >= least)
-    pick = lambda whole, name, none: F.when(gone, whole).otherwise(F.coalesce(F.col(name), none)).alias(name)
+    text = [docs["text"].alias("text")] if passage else []
+    rows = docs.select(docs["doc_id"], _key(docs).alias("key"), _sha(docs).alias("sha"), F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long").alias("n_bytes"), *text)
+    copies = docs.select(_key(docs).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cleaned = _cleaned(docs, least, passage)
+    both = rows.join(copies, "key", "left").join(cleaned if passage else cleaned.drop("kept_text"), "key", "left")
+    gone = lambda size: (F.col("n") > 1) & (F.col("n_bytes") >= size)
+    pick = lambda whole, name, none, size=least: F.when(gone(size), whole).otherwise(F.coalesce(F.col(name), none)).alias(name)
+    more = [pick(F.col("n_bytes"), "n_passage_bytes", F.lit(0).cast("long"), passage), pick(F.lit(""), "kept_text", F.coalesce("text", F.lit("")), passage)] if passage else []
     return both.select(
         "doc_id", "n_bytes", pick(F.col("n_bytes"), "n_removed", F.lit(0).cast("long")), pick(F.lit(1).cast("long"), "n_spans", F.lit(0).cast("long")),
-        pick(F.lit(hashlib.sha256(b"").hexdigest()), "kept_sha256", F.col("sha")),
+        pick(F.lit(hashlib.sha256(b"").hexdigest()), "kept_sha256", F.col("sha")), *more,
     )
 
 
 def without_repeats(docs: DataFrame, least: int) -> DataFrame:
     """docs with the repeated bytes taken out of text, and n_chars, where there is such a column, set anew.
 
-    Characters of which a byte goes are dropped whole. No row is dropped; null texts stay null.
+    Characters of which a byte goes are dropped whole. No row is dropped; null texts stay null, and texts that several
+    rows have become empty. An empty table stays empty. Columns may have any names, as long as they differ.
     """
     cleaned = _cleaned(docs, least).select("key", "kept_text")
     names = [f"_c{i}" for i in range(len(docs.columns))]
