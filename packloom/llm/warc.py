@@ -160,7 +160,7 @@ def _writer(folder: str):
             # The name is this attempt's own, and only the rows of the attempt that Spark commits are read.
             name = f"{root}/{context.partitionId():05d}-{part:05d}-{uuid.uuid4().hex}.warc.zst"
             body = pack(records)
-            with store.open_output_stream(name) as f:
+            with store.open_output_stream(name, compression=None) as f:
                 f.write(body)
             return pa.RecordBatch.from_pylist([{"path": name, "n_records": len(records), "n_bytes": len(body)}])
 
@@ -208,7 +208,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     def records_of(r: dict) -> Iterator[dict]:
         store, _ = fs.FileSystem.from_uri(r["folder"])
-        with store.open_input_stream(r["path"]) as f:
+        with store.open_input_stream(r["path"], compression=None) as f:
             data = f.read()
         at, seen = 0, 0
         try:
