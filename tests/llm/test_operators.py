@@ -126,15 +126,31 @@ def test_removals_match_brute_force(spark):
     texts += ["a" * 150, "ab" * 100, "abc" * 60 + "x", None, "", texts[0], texts[1], "a" * 39, "a" * 40, "a" * 41]
     got = repeats.removals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 40).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == _brute_removals(texts, 40)
+    both = repeats.removals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 60, 40).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in both] == _brute_removals(texts, 60)
+    assert [r.n_passage_bytes for r in both] == [r.n_removed for r in got] and all(len(r.kept_text.encode()) <= r.n_bytes - r.n_passage_bytes for r in both)
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == g.kept_sha256 for r, g in zip(both, got, strict=True) if len(r.kept_text.encode()) == g.n_bytes - g.n_removed)
+
+
+def test_removals_split_frequent_minimisers(spark, monkeypatch):
+    rng = random.Random(8)
+    some = lambda n, letters="abcdef": "".join(rng.choice(letters) for _ in range(n))
+    passage, line = some(130), some(61)
+    texts = [some(rng.randint(0, 60)) + passage[rng.randint(0, 20) : rng.randint(90, 130)] + some(rng.randint(0, 60)) for _ in range(60)]
+    texts += [some(20, "ab") + line + some(20, "ab") for _ in range(60)] + [(some(3) + line[:50]) * 4 for _ in range(10)] + ["a" * 120, "ab" * 70, None, ""]
+    for hot in (3, 40, 65_536):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        got = repeats.removals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 60).orderBy("doc_id").collect()
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == _brute_removals(texts, 60)
 
 
 def test_one_minimisers_stretches_lie_in_files():
     rng = np.random.default_rng(1)
-    core, schema = rng.bytes(300), pa.schema([("anchor", pa.int64()), ("bytes", pa.binary()), ("lead", pa.int32()), ("keys", pa.list_(pa.binary())), ("starts", pa.list_(pa.int64()))])
+    core, schema = rng.bytes(300), pa.schema([("anchor", pa.int64()), ("bytes", pa.binary()), ("lead", pa.int32()), ("keys", pa.list_(pa.binary())), ("starts", pa.list_(pa.int64())), ("several", pa.bool_())])
 
     def batches():
         for a in range(0, 3000, 500):
-            yield pa.RecordBatch.from_pylist([{"anchor": 7, "bytes": rng.bytes(150) + core + rng.bytes(150), "lead": 300, "keys": [b"%d" % i], "starts": [i]} for i in range(a, a + 500)], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"anchor": 7, "bytes": rng.bytes(150) + core + rng.bytes(150), "lead": 300, "keys": [b"%d" % i], "starts": [i], "several": False} for i in range(a, a + 500)], schema=schema)
 
     tracemalloc.start()
     got = [tuple(r.values()) for b in repeats._repeated(100)(batches()) for r in b.to_pylist()]
