@@ -5,12 +5,14 @@ equal places. So only strings around minimisers that occur twice can repeat (an
 minimiser, aligned by it, have their equal strings in equal columns. On these stretches the collection's Burrows-Wheeler
 order is built column by column: each round inserts one symbol of every stretch, sorts the order stably by it, and updates
 the common prefixes (here: the column from which on a stretch agrees with its neighbour in the order). A string ending in
-this column repeats if the agreement with a neighbour is at least `least` long. Stretches, columns and the
-runs found lie in files, so that a task holds numbers for each stretch (order, agreements, sizes, the open run), but no texts.
+this column repeats if the agreement with a neighbour is at least `least` long. Stretches, columns, order, agreements
+and the runs found lie in files that are read and written from front to back, round by round; a task holds some numbers
+for each stretch (sizes, places of columns, the open run) and one column, but no texts.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import pickle
@@ -29,6 +31,8 @@ from packloom.llm.common import drop, written
 K = 32
 #: Stretches that are worked on at once, unless one minimiser has more.
 AT_ONCE = 16_384
+#: Entries of the order that are read at once.
+ROUND = 16_384
 #: Places of a minimiser from which on its stretches are split, and into how many parts at a time.
 HOT, PARTS = 65_536, 8
 #: Bits of a packed minimiser that hold its place in a window of a block of texts.
@@ -130,14 +134,15 @@ def _split(least: int):
 def repeated_columns(flat: np.ndarray, sizes: np.ndarray, leads: np.ndarray, least: int) -> np.ndarray:
     """(piece, from, to) of the runs of strings of `least` bytes of the pieces, aligned by their leads, that another piece has in the same columns.
 
-    flat has the pieces one after the other and may be mapped from a file. Columns and runs go through files too.
+    flat has the pieces one after the other and may be mapped from a file. Columns, order, agreements and runs go through
+    files too; in memory are a column, some numbers of each piece, and ROUND entries of the order.
     """
     shift = leads.max() - leads
     width, m = int((shift + sizes).max()), len(sizes)
     since, upto_ = np.full(m, -1, np.int64), np.full(m, -2, np.int64)  # the first and the last start of each piece's open run
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as runs:
-        rows = 1 << 20
-        rows = max(1, rows // max(1, m))
+    with contextlib.ExitStack() as files:
+        columns, runs, *numbers = (files.enter_context(tempfile.TemporaryFile()) for _ in range(6))
+        rows = max(1, (1 << 20) // m)
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) - shift
         for c in range(0, width, rows):  # the columns c to c + rows, one after the other
             at = np.arange(c, min(width, c + rows))[:, None]
@@ -149,47 +154,73 @@ def repeated_columns(flat: np.ndarray, sizes: np.ndarray, leads: np.ndarray, lea
             which = which[since[which] >= 0]
             runs.write(np.stack([which, since[which] - shift[which], upto_[which] - shift[which] + least], axis=1).tobytes())
 
+        def repeats_at(at: int, which: np.ndarray) -> None:
+            which = np.unique(which[upto_[which] != at])
+            started = which[upto_[which] != at - 1]
+            close(started)
+            since[started] = at
+            upto_[which] = at
+
+        for f in numbers:
+            f.truncate(4 * m)
+        # The order, and agree[i]: the column from which on order[i] agrees with order[i - 1]. They are read and written from column to column.
+        order, agree, next_order, next_agree = (np.memmap(f, np.int32, "r+", shape=(m,)) for f in numbers)
         entering = np.argsort(shift, kind="stable")
-        entered, leaving = shift[entering], shift + sizes
-        stops = set(leaving.tolist())
-        next_in = 0
-        order, agree = np.zeros(0, np.int64), np.zeros(0, np.int64)  # agree[i]: the column from which on order[i] agrees with order[i - 1]
+        entered, leaving, count, n_in = shift[entering], shift + sizes, 0, 0
         for c in range(width):
-            symbols = np.frombuffer(columns.read(m), np.uint8)
-            if c in stops and len(order):
-                keep = np.flatnonzero(leaving[order] > c)
-                agree = np.maximum.reduceat(agree[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1])) if len(keep) else agree[:0]
-                order = order[keep]
-            upto = int(np.searchsorted(entered, c, "right"))
-            if upto > next_in:
-                order = np.concatenate([order, entering[next_in:upto]])
-                agree = np.concatenate([agree, np.full(upto - next_in, c)])
-                next_in = upto
-            if not len(order):
-                continue
-            symbol = symbols[order]
-            place = np.argsort(symbol, kind="stable")
-            sorted_ = symbol[place]
-            after = np.maximum.reduceat(np.append(agree, 0), place + 1)[:-1] if len(place) > 1 else agree[:0]
-            agree = np.concatenate([[c + 1], np.where(sorted_[1:] == sorted_[:-1], after, c + 1)])
-            order = order[place]
-            if c + 1 >= least:
-                long = agree <= c + 1 - least
-                long[0] = False
-                if long.any():
-                    either = long.copy()
-                    either[:-1] |= long[1:]
-                    which, at = order[either], c + 1 - least
-                    started = which[upto_[which] != at - 1]
-                    close(started)
-                    since[started] = at
-                    upto_[which] = at
+            symbols, upto = np.frombuffer(columns.read(m), np.uint8), int(np.searchsorted(entered, c, "right"))
+            order[count : count + upto - n_in], agree[count : count + upto - n_in] = entering[n_in:upto], c
+            count, n_in = count + upto - n_in, upto
+            count = _insert(symbols, leaving > c, c, order[:count], agree[:count], next_order, next_agree, functools.partial(repeats_at, c + 1 - least) if c + 1 >= least else None, least)
+            order, agree, next_order, next_agree = next_order, next_agree, order, agree
         close(np.arange(m))
         runs.seek(0)
         found = np.frombuffer(runs.read(), np.int64).reshape(-1, 3)
     return found[np.lexsort((found[:, 1], found[:, 0]))]
 
 
+def _insert(symbols: np.ndarray, stays: np.ndarray, c: int, order: np.ndarray, agree: np.ndarray, next_order: np.ndarray, next_agree: np.ndarray, repeats, least: int) -> int:
+    """One round: the pieces that stay are dealt out by their symbol in column c, in the order they have, and how many they are.
+
+    Blocks of the order are read one after the other, and each symbol's pieces are written one after the other. Between
+    blocks, for each symbol, its last piece and the largest agreement since are carried on. repeats is told of pieces that
+    agree with a neighbour in `least` columns.
+    """
+    blocks = range(0, len(order), ROUND)
+    totals = sum((np.bincount(symbols[o[stays[o]]], minlength=256) for o in (order[i : i + ROUND] for i in blocks)), np.zeros(256, np.int64))
+    ends_at = np.cumsum(totals)
+    place_of = ends_at - totals
+    since, last, left = np.full(256, c + 1, np.int32), np.full(256, -1, np.int64), 0
+    for i in blocks:
+        o, a = np.array(order[i : i + ROUND]), np.array(agree[i : i + ROUND])
+        keep = np.flatnonzero(stays[o])
+        if not len(keep):
+            left = max(left, int(a.max()))
+            continue
+        after = int(a[keep[-1] + 1 :].max(initial=0))
+        if len(keep) < len(o):
+            a, o = np.maximum.reduceat(a[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1])), o[keep]
+        a[0], left = max(int(a[0]), left), after
+        place = np.argsort(symbols[o], kind="stable")
+        symbol, pieces = symbols[o][place], o[place]
+        new = np.concatenate([[True], symbol[1:] != symbol[:-1]])
+        starts, ends = np.flatnonzero(new), np.flatnonzero(np.concatenate([new[1:], [True]]))
+        own = symbol[starts]
+        agreed = np.maximum.reduceat(np.append(a, np.int32(0)), np.concatenate([[0], place + 1]))[:-1]
+        agreed[starts] = np.maximum(since[own], np.maximum.accumulate(a)[place[starts]])
+        before = np.concatenate([[-1], pieces[:-1]])
+        before[starts] = last[own]
+        to = np.arange(len(pieces)) + np.repeat(place_of[own] - starts, ends - starts + 1)
+        next_order[to], next_agree[to] = pieces, agreed
+        place_of[own] += ends - starts + 1
+        since = np.maximum(since, a.max())
+        since[own], last[own] = np.append(np.maximum.accumulate(a[::-1])[::-1], np.int32(0))[place[ends] + 1], pieces[ends]
+        if repeats:
+            long = agreed <= c + 1 - least
+            repeats(np.concatenate([pieces[long], before[long]]))
+    return int(ends_at[-1])
+
+
 class _Held:
     """Stretches that are worked on at once: their bytes and places in files, their sizes and leads in memory."""
 
