@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from packloom.llm import bpe
 from packloom.llm import text as T
-from packloom.llm.common import written
+from packloom.llm.common import drop, written
 
 #: Texts of more bytes are split into chunks of CHUNK bytes; FAN chunks or groups make a group of the next level.
 GIANT, CHUNK, FAN, NEAR = 1 << 15, 1 << 13, 64, 128
@@ -231,6 +231,9 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     parts = chunks.join(ends, ["key", "no"]).mapInArrow(_backtrace(model), "key binary, no long, ids array<int>")
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     whole = whole.select("key", F.size("parts").cast("long").alias("n_chunks"), F.flatten(F.col("parts.ids")).alias("ids"))
+    whole = written(whole, "ids")  # a table: then Spark can split the rows of a text that many have
+    drop(chunks)
+    drop(matrices)
     scanned = large.select("doc_id", "n_bytes", "text_hash", "key").join(whole, "key").select("doc_id", "n_bytes", "n_chunks", "text_hash", "ids")
     return rows.where(F.col("n_bytes") <= giant).mapInArrow(direct, fields).unionByName(scanned)
 

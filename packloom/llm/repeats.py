@@ -409,6 +409,16 @@ def _cleaned(docs: DataFrame, least: int, passage: int | None = None) -> DataFra
     return cleaned
 
 
+def _marks(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """One row a key: n for the keys that several rows of docs have, the columns of cleaned for the others.
+
+    Copies go wholly if they are long enough, and lose nothing if not, so that nothing else need be known of them. As one
+    side of one join, it lets Spark split the rows of a key that many have.
+    """
+    copies = docs.select(_key(docs).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return copies.unionByName(cleaned.join(copies, "key", "left_anti"), allowMissingColumns=True)
+
+
 def removals(docs: DataFrame, least: int = 400, passage: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document; with `passage` (at most `least`) also n_passage_bytes and kept_text.
 
@@ -423,9 +433,8 @@ def removals(docs: DataFrame, least: int = 400, passage: int | None = None) -> D
     """
     text = [docs["text"].alias("text")] if passage else []
     rows = docs.select(docs["doc_id"], _key(docs).alias("key"), _sha(docs).alias("sha"), F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long").alias("n_bytes"), *text)
-    copies = docs.select(_key(docs).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cleaned = _cleaned(docs, least, passage)
-    both = rows.join(copies, "key", "left").join(cleaned if passage else cleaned.drop("kept_text"), "key", "left")
+    both = rows.join(_marks(docs, cleaned if passage else cleaned.drop("kept_text")), "key", "left")
     gone = lambda size: (F.col("n") > 1) & (F.col("n_bytes") >= size)
     pick = lambda whole, name, none, size=least: F.when(gone(size), whole).otherwise(F.coalesce(F.col(name), none)).alias(name)
     more = [pick(F.col("n_bytes"), "n_passage_bytes", F.lit(0).cast("long"), passage), pick(F.lit(""), "kept_text", F.coalesce("text", F.lit("")), passage)] if passage else []
@@ -445,8 +454,7 @@ def without_repeats(docs: DataFrame, least: int) -> DataFrame:
     names = [f"_c{i}" for i in range(len(docs.columns))]
     keyed = docs.select(_key(docs).alias("key"), *[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
     text = names[docs.columns.index("text")]
-    copies = docs.select(_key(docs).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    both = keyed.join(copies, "key", "left").join(cleaned, "key", "left")
-    kept = F.when((F.col("_n") > 1) & (F.octet_length(text) >= least), F.lit("")).otherwise(F.coalesce("kept_text", text))
+    both = keyed.join(_marks(docs, cleaned), "key", "left")
+    kept = F.when((F.col("n") > 1) & (F.octet_length(text) >= least), F.lit("")).otherwise(F.coalesce("kept_text", text))
     value = lambda c, n: kept if c == "text" else F.coalesce(F.char_length(kept), F.lit(0)).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(n)
     return both.select(*[value(c, n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

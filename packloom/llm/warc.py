@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom.llm.common import new_path, written
+from packloom.llm.common import drop, new_path, written
 
 #: Frames with this magic number are skipped by readers that don't know them; here it holds the archive's dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -193,9 +193,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
     body = F.coalesce(F.encode(pages["html"], "UTF-8"), F.lit(b""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), body.alias("payload"), F.sha2(body, 256).alias("same"))
     firsts = rows.where(F.octet_length("payload") >= least).groupBy("same").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
+    firsts = written(firsts, "warc-firsts")  # a table: then Spark can split the pages of a frequent payload
     joined = rows.join(firsts, "same", "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
     listed = joined.select("page_id", "url", "payload", "first_id", "revisit").mapInArrow(_writer(folder), "path string, n_records bigint, n_bytes bigint")
-    return written(listed.withColumn("folder", F.lit(folder)), "warc-list")
+    out = written(listed.withColumn("folder", F.lit(folder)), "warc-list")
+    drop(firsts)
+    return out
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:

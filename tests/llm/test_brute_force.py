@@ -94,6 +94,7 @@ def _shards(rows, n):
         body, scores = (text or "").encode(), [score(key, s) for s in range(n + 1)]
         shard = min(range(n), key=lambda s: (scores[s], s))
         h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", len(body) + 8), xxhash.xxh64_intdigest(struct.pack("<q", zlib.crc32(body)), h))
         piece = xxhash.xxh64_intdigest(b"piece", h) % sharding.PIECES
         members[shard].append((piece, key is not None, key or 0, zlib.crc32(body), len(body) + 8))
         out.append([key, len(body) + 8, zlib.crc32(body), shard, None, n if scores[n] < scores[shard] else shard])
