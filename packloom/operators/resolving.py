@@ -93,8 +93,10 @@ def alias_candidates(imports: DataFrame, patterns: DataFrame, keys: list[str]) -
     if "folder" in patterns.columns:
         found, at = imports.join(patterns, "folder").where(to.isNotNull()), F.when(to.startswith("/"), to).otherwise(F.concat_ws("/", "base", to))
     else:
-        # Patterns are those of one project's configuration: a list of a few rows, so the match is a nested loop over it.
-        found, at = imports.join(F.broadcast(patterns), to.isNotNull()), to
+        # A pattern begins with the letters before its star, so that it is one of the spec's prefixes that finds it: any number of patterns.
+        headed = patterns.withColumn("_head", F.split_part("pattern", F.lit("*"), F.lit(1)))
+        prefixes = F.transform(F.sequence(F.lit(0), F.length("spec")), lambda i: F.substring("spec", F.lit(1), i))
+        found, at = imports.withColumn("_head", F.explode(prefixes)).join(headed, "_head").where(to.isNotNull()).drop("_head"), to
     tried = found.select(*keys, "pattern", F.posexplode(probes(at, F.lit(""))).alias("nth", "dst"))
     return tried.select(*keys, F.struct(F.lit(0).alias("way"), (-F.length("pattern")).alias("l"), "pattern", "nth").alias("prio"), "dst")
 
