@@ -34,38 +34,41 @@ def stage(make):
 
 @stage
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, those with null or empty texts among them; copies are judged alike. All columns stay as they are."""
     return quality.keep_good(docs)
 
 
 @stage
 def jaccard_join(spark, docs, sf_dir):
-    """One document of each class of near copies stays (five-word shingles, similarity 0.8)."""
+    """One document of each class of near copies stays (five-word shingles, similarity 0.8): that with the smallest doc_id, null last.
+
+    Of rows that repeat one stays; rows that share a doc_id but not a class all stay, as do texts without a word or null.
+    """
     return jaccard.keep_one(docs, 5, 80)
 
 
 @stage
 def suffix_dedup(spark, docs, sf_dir):
-    """Passages that occur more than once are cut from texts."""
+    """Passages that occur more than once are cut from texts; n_chars follows. No row goes, null texts stay null, and texts that several rows have become empty."""
     return repeats.without_repeats(docs, PASSAGE_BYTES)
 
 
 @stage
 def source_mix(spark, docs, sf_dir):
-    """Documents as often, and in the order, as the mix takes them."""
+    """Documents as often, and in the order, as the mix takes them. Null sources are one source; texts without a word or null count as size 0."""
     return mixing.curriculum(docs)
 
 
 @stage
 def sentencepiece(spark, docs, sf_dir):
-    """The ids of every document, and whether they decode to its text."""
+    """The ids of every document, and whether they decode to its text; null or empty text: no ids, which do."""
     rows = pieces.decode(pieces.encode(docs, tokenizer()), tokenizer())
     return rows.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", jaccard_join), ("suffix-array dedup", suffix_dedup), ("mixing sources", source_mix), ("SentencePiece encoding", sentencepiece)]
 
-#: SQL can express neither the suffix-array stage nor the encoding; tests hold the operators against brute force, not with these parameters.
+#: SQL can express neither the suffix-array stage nor the encoding; tests hold each stage's operator, with these parameters, against brute force.
 ORACLE_SQL = None
 
 
