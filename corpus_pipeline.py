@@ -61,7 +61,7 @@ def source_mix(spark, docs, sf_dir):
 
 @stage
 def sentencepiece(spark, docs, sf_dir):
-    """The ids of every document, and whether they decode to its text; null or empty text: no ids, which do."""
+    """The ids of every document, and whether they decode to its text; null or empty text: no ids, and round_trip true."""
     rows = pieces.decode(pieces.encode(docs, tokenizer()), tokenizer())
     return rows.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
 
