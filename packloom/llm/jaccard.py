@@ -1,13 +1,16 @@
-"""Exact Jaccard joins of word shingles with adaptive multi-match prefixes.
+"""Exact Jaccard joins of word shingles with multi-match prefixes.
 
 Two sets with a Jaccard similarity of t or more share at least O = ceil(t * n) tokens, n the size of either. In any
-common order of tokens, the first n - O + l tokens of both then share at least l tokens. A document starts with l = 1.
-Where its prefix meets another document's (its estimated candidate cost, the rows its tokens are shared with, is not
-zero), it is lengthened to a quarter of n - O, and where it still meets enough, to l = n - O, and must share that many:
-documents of unlike texts that meet in a common line drop out before their long prefixes are dealt out. The tokens of the
-longest prefix are then taken from the rarest on, so that only n - O + 1 of them need be looked up.
-What is left falls into connected parts, in which full sets are compared through an inverted index; the sets of a part
-that is too large for one task are compared with a hub first, and what that leaves open by pairs of blocks.
+common order of tokens, the first n - O + 1 tokens of both then share a token. Short sets offer these. Of longer ones, a
+token alone has too many candidates, more and more as the corpus grows. So their prefix is lengthened, up to the whole
+set, until so many tokens must be shared that some of them stand next to each other: the at most (1 - t) / (1 + t) * S
+tokens that only one of two sets has, S the sum of their sizes, cut the shared ones into runs, of which the longest has RUN
+tokens at least, neighbours in the order of both sets. A set offers grams of neighbours, the least of each window of grams,
+and a run has a whole window, so that two linked sets offer a common gram.
+
+Sets that offer a common gram, or token, fall into connected parts, in which full sets are compared through an inverted
+index; the sets of a part that is too large for one task are compared with hubs first, and what that leaves open by pairs
+of blocks.
 """
 
 from __future__ import annotations
@@ -27,37 +30,61 @@ from pyspark.sql.window import Window
 from packloom.llm import text as T
 from packloom.llm.common import WORD, components, drop, written
 
-#: Tokens of the sets that one task compares at most. Larger parts are compared with hubs first, and what is left by pairs of blocks.
-BLOCK_TOKENS = 250_000
+#: Tokens, and sets, that one task compares at most. Larger parts are compared with hubs first, and what is left by pairs of blocks.
+BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 2_000
 #: Hubs that the sets of a large part are compared with, one after the other.
 HUBS = 2
-#: Rounds in which documents that lost their partners leave before the parts are formed.
-PEELS = 2
-#: The middle prefix is lengthened by this part of n - O.
-PART = 4
+#: Sets of so many tokens and less may offer single tokens, so that longer ones have longer runs.
+SHORT = 40
+#: Added to single tokens, so that no gram is taken for one.
+SINGLE = np.uint64(0x5851F42D4C957F2D)
 
 
 def overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _needed(n: str, percent: int, part: int = 1) -> str:
-    """Tokens that the prefixes, lengthened to (n - O) / part, of a document and any partner, which has at least O tokens, share at least."""
-    return f"greatest(1, (({percent} * {n} + 99) div 100) * {100 - percent} div {100 * part})"
+@functools.cache
+def scheme(percent: int) -> tuple[int, int, int]:
+    """(sets longer than this offer grams, tokens of a gram, grams of a window).
 
-
-def _sets(n_words: int, percent: int, with_prefix: bool):
+    Two linked sets of n tokens and more share a run of more than r - 1 tokens if n * (t - (r - 1) * (1 - t)) > r - 1.
+    """
+    run, least = 1, 0
+    for r in range(2, SHORT + 1):
+        left = percent - (r - 1) * (100 - percent)
+        if left > 0 and 100 * (r - 1) // left <= SHORT:
+            run, least = r, max(r - 1, 100 * (r - 1) // left)
+    gram = -(-3 * run // 8)
+    return least, gram, run - gram + 1
+
+
+def offers(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """What a set offers, from its tokens in order: two linked sets offer something in common."""
+    least, gram, window = scheme(percent)
+    n, out = len(tokens), []
+    if n > least:
+        grams = np.zeros(n - gram + 1, np.uint64)
+        for i in range(gram):
+            grams = grams * np.uint64(0xD1342543DE82EF95) + tokens[i : i + len(grams)]
+        out.append(np.lib.stride_tricks.sliding_window_view(T.mix(grams), window).min(axis=1))
+    if 100 * least >= percent * n:  # a partner may be too short for grams
+        out.append(T.mix(tokens[: n - overlap(n, percent) + 1] + SINGLE))
+    return np.unique(np.concatenate(out)) if out else tokens
+
+
+def _sets(n_words: int, percent: int, with_offers: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in T.blocks(batches):
             sets = T.shingles(data, offsets, n_words)
             n = [len(x) for x in sets]
             mixed = [T.mix(x + np.uint64(0x632BE59BD9B4E019)) for x in sets]
             columns = [pa.array(n, pa.int64()), pa.array(np.array([x.sum(dtype=np.uint64) for x in mixed], np.uint64).view(np.int64)), pa.array(np.array([np.bitwise_xor.reduce(x) for x in mixed], np.uint64).view(np.int64))]
-            if with_prefix:
-                head = [x[: min(len(x), 2 * (len(x) - overlap(len(x), percent)) + 1)].view(np.int64) for x in sets]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in head])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *head])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", "n", "node", "check", *(["head"] if with_prefix else [])])
+            if with_offers:
+                found = [offers(x, percent).view(np.int64) for x in sets]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", "n", "node", "check", *(["offers"] if with_offers else [])])
 
     return run
 
@@ -141,8 +168,8 @@ def _linked_with_hub(percent: int, nth: int):
     return run
 
 
-def _links_of_large_parts(large: DataFrame, percent: int) -> DataFrame:
-    """(a, b) whose components are the classes of sets (label, node, n, tokens) of parts that are too large for one task.
+def _classes_of_large_parts(large: DataFrame, percent: int) -> DataFrame:
+    """(node, label), a number for the class, for the sets (label, node, n, tokens) of parts that are too large for one task.
 
     Each set is compared with up to HUBS hubs of its part. Sets linked with a hub are one class with it, so only pairs of
     different hubs' sets, and all pairs of those linked with none, are left. These are compared by pairs of blocks. A block
@@ -161,7 +188,7 @@ def _links_of_large_parts(large: DataFrame, percent: int) -> DataFrame:
     # A little over the ratio of sizes that links allow, so that rounding can't put two linked sets two steps apart.
     step = f"cast(ln(n) / {math.log(max(100 / percent, 1.01)) * (1 + 1e-9)} as int)"
     sized = rows.withColumn("step", F.expr(step))
-    blocks = sized.groupBy("label", "hub", "step").agg(F.ceil(F.sum("n") * 2 / BLOCK_TOKENS).cast("int").alias("parts"))
+    blocks = sized.groupBy("label", "hub", "step").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_SETS) * 2).cast("int").alias("parts"))
     blocks = written(blocks, "blocks")
     each = blocks.select("label", "hub", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     one = each.select("label", F.struct("hub", "step", "part").alias("x"))
@@ -172,7 +199,10 @@ def _links_of_large_parts(large: DataFrame, percent: int) -> DataFrame:
     placed = sized.join(blocks, ["label", "hub", "step"]).withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).drop("parts")
     cut = placed.join(sides, ["label", "hub", "step", "part"])
     stars = cut.select("label", "x", "y", "node", "n", "tokens", "hub").groupBy("label", "x", "y").applyInPandas(_compared(percent), "a bigint, b bigint")
-    return functools.reduce(DataFrame.unionByName, to_hubs, stars)
+    out = components(functools.reduce(DataFrame.unionByName, to_hubs, stars))
+    for t in (rows, blocks, *hubs):
+        drop(t)
+    return out
 
 
 def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -181,45 +211,14 @@ def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     rows = docs.select(docs["doc_id"], docs["text"], _key(docs).alias("key"))
     fields = f"doc_id {kind}, key binary, n bigint, node bigint, `check` bigint"
     slim = written(rows.mapInArrow(_sets(n_words, percent, False), fields), "sets")
-    heads = rows.mapInArrow(_sets(n_words, percent, True), f"{fields}, head array<bigint>").where("n > 0")
+    offered = rows.mapInArrow(_sets(n_words, percent, True), f"{fields}, offers array<bigint>").where("n > 0")
     # The row whose text stands for a set: a doc_id alone does not tell which, as rows may share it or have none.
-    heads = written(heads.groupBy("node", "n", "check").agg(F.min("key").alias("rep"), F.first("head").alias("head")).drop("check"), "heads")
-
-    def shared(tokens: DataFrame) -> DataFrame:
-        """Tokens of several sets. A set has a token once, so that a token's rows are its sets. As a table: then Spark can split the rows of a frequent token in joins with it."""
-        return written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1"), "shared")
-
-    def prefix(length: str) -> DataFrame:
-        return heads.select("node", F.expr(f"slice(head, 1, cast(n - (({percent} * n + 99) div 100) + {length} as int))").alias("head"))
-
-    sizes = heads.select("node", "n")
-    short = prefix("1").select("node", F.explode("head").alias("token"))
-    often = shared(short)
-    met = written(short.join(often, "token", "left_semi").select("node").distinct(), "met")
-    drop(often)
-    middle = prefix(f"({100 - percent} * n) div {100 * PART} + 1").join(met, "node", "left_semi").select("node", F.explode("head").alias("token"))
-    often = shared(middle)
-    found = middle.join(often, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("found"))
-    close = written(found.join(sizes, "node").where(f"found >= {_needed('n', percent, PART)}").select("node"), "close")
-    drop(met)
-    drop(often)
-    tokens, hits = heads.join(close, "node", "left_semi").select("node", F.explode("head").alias("token")), None
-    for _ in range(PEELS):
-        often = shared(tokens)
-        before, hits = hits, written(tokens.select("node", "token").join(often, "token"), "hits")
-        drop(often)
-        if before is not None:
-            drop(before)
-        enough = hits.groupBy("node").agg(F.count(F.lit(1)).alias("found")).join(sizes, "node").where(f"found >= {_needed('n', percent)}").select("node", "n", "found")
-        tokens = hits.join(enough, "node")
-    rarest = Window.partitionBy("node").orderBy("cost", "token")
-    looked = written(tokens.withColumn("nth", F.row_number().over(rarest)).where(f"nth <= found - {_needed('n', percent)} + 1").select("node", "token"), "looked")
-    drop(close)
-    drop(hits)
-    hubs = written(looked.groupBy("token").agg(F.min("node").alias("b")), "hubs")
-    parts = components(looked.join(hubs, "token").select(F.col("node").alias("a"), "b"))
+    heads = written(offered.groupBy("node", "n", "check").agg(F.min("key").alias("rep"), F.first("offers").alias("offers")).drop("check"), "heads")
+    each = heads.select("node", F.explode("offers").alias("offer"))
+    # Tables of one row an offer: then Spark can split the rows of a frequent offer in the join with it.
+    hubs = written(each.groupBy("offer").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"), "hubs")
+    parts = components(each.join(hubs, "offer").select(F.col("node").alias("a"), "b"))
     drop(hubs)
-    drop(looked)
 
     chosen = parts.join(heads.select("node", "rep"), "node")
     texts = rows.join(chosen, rows["key"] == F.col("rep")).select("label", "node", "text")
@@ -227,19 +226,20 @@ def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     drop(heads)
     drop(parts)
     totals = written(full.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")).where("members > 1"), "totals")
-    placed = full.join(totals, "label")
-    small = placed.where(F.col("all") <= BLOCK_TOKENS).withColumn("hub", F.lit(0).cast("long"))
+    placed, is_large = full.join(totals, "label"), (F.col("all") > BLOCK_TOKENS) | (F.col("members") > BLOCK_SETS)
+    small = placed.where(~is_large).withColumn("hub", F.lit(0).cast("long"))
     stars = written(small.select("label", "node", "n", "tokens", "hub").groupBy("label").applyInPandas(_compared(percent), "a bigint, b bigint"), "stars")
-    linked = stars.select(F.col("a").alias("node"), F.col("b").alias("top"))
-    if totals.where(F.col("all") > BLOCK_TOKENS).isEmpty():
+    linked, tables = stars.select(F.col("a").alias("node"), F.col("b").alias("top")), [slim, stars, totals]
+    if totals.where(is_large).isEmpty():
         drop(full)
     else:
-        large = written(placed.where(F.col("all") > BLOCK_TOKENS).select("label", "node", "n", "tokens"), "large")
+        large = written(placed.where(is_large).select("label", "node", "n", "tokens"), "large")
         drop(full)
-        linked = linked.unionByName(components(_links_of_large_parts(large, percent)).select("node", F.col("label").alias("top")))
+        of_large = _classes_of_large_parts(large, percent)
+        linked, tables = linked.unionByName(of_large.select("node", F.col("label").alias("top"))), [*tables, of_large]
     out = slim.join(linked.where("node <> top"), "node", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("top", "node")).alias("top"))
     out = written(out, "classes")
-    for t in (slim, stars, totals):
+    for t in tables:
         drop(t)
     return out
 
