@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,7 +25,6 @@ PRIME_BASE = int(_rng.integers(1 << 32, PRIME))
 #: Ranges of so many bytes and more are hashed by blake2b.
 LONG_RANGE = 1 << 23
 _powers: list[np.ndarray] = []
-_prime_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,17 +53,28 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _folded(a1 * b1 * np.uint64(2) + (cross >> np.uint64(30)) + ((cross & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0)
 
 
-def prime_powers(n: int) -> list[np.ndarray]:
-    """The low 30 and the high 31 bits of PRIME_BASE ** k, and PRIME_BASE ** -k, modulo PRIME for k below n."""
-    if not _prime_powers or len(_prime_powers[0]) < n:
-        size, found = max(n, BLOCK + 1), []
-        for base in (PRIME_BASE, pow(PRIME_BASE, -1, PRIME)):
-            p = np.ones(1, np.uint64)
-            while len(p) < size:
-                p = np.concatenate([p, times(p, np.full(1, pow(base, len(p), PRIME), np.uint64))])
-            found.append(p[:size])
-        _prime_powers[:] = [found[0] & np.uint64((1 << 30) - 1), found[0] >> np.uint64(30), found[1]]
-    return _prime_powers
+def _power_list(base: int, n: int) -> np.ndarray:
+    """base ** k modulo PRIME for k below n."""
+    p = np.ones(1, np.uint64)
+    while len(p) < n:
+        p = np.concatenate([p, times(p[: n - len(p)], np.full(1, pow(base, len(p), PRIME), np.uint64))])
+    return p
+
+
+@functools.cache
+def prime_powers() -> tuple[np.ndarray, np.ndarray]:
+    """The low 30 and the high 31 bits of PRIME_BASE ** k modulo PRIME for k below BLOCK."""
+    p = _power_list(PRIME_BASE, BLOCK)
+    return (p & np.uint64((1 << 30) - 1)).astype(np.uint32), (p >> np.uint64(30)).astype(np.uint32)
+
+
+def inverse_powers(k: np.ndarray) -> np.ndarray:
+    """PRIME_BASE ** -k modulo PRIME, from two short lists."""
+    if not len(k):
+        return np.zeros(0, np.uint64)
+    fine = _power_list(pow(PRIME_BASE, -1, PRIME), 1 << 10)
+    coarse = _power_list(pow(PRIME_BASE, -(1 << 10), PRIME), int(k.max() >> 10) + 1)
+    return times(fine[k & 1023], coarse[k >> 10])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,17 +121,24 @@ class Prefix:
     """
 
     def __init__(self, data: np.ndarray):
-        low, high, self.down = prime_powers(len(data) + 1)
-        self.data, value = data, data.astype(np.uint64) + np.uint64(1)
+        self.data = data
         self.low, self.high = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(value * low[: len(data)], out=self.low[1:])
-        np.cumsum(value * high[: len(data)], out=self.high[1:])
+        for at in range(0, len(data), BLOCK):  # little memory beside the sums, also for a long text
+            value = data[at : at + BLOCK].astype(np.uint64) + np.uint64(1)
+            low, high = (x[: len(value)] for x in prime_powers())
+            if at:
+                p = times(low + (high.astype(np.uint64) << np.uint64(30)), np.full(1, pow(PRIME_BASE, at, PRIME), np.uint64))
+                low, high = p & np.uint64((1 << 30) - 1), p >> np.uint64(30)
+            for sums, power in ((self.low, low), (self.high, high)):
+                own = sums[at + 1 : at + 1 + len(value)]
+                np.cumsum(value * power, out=own)
+                own += sums[at]
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         length = (ends - starts).astype(np.uint64)
         high = _folded(self.high[ends] - self.high[starts])
         shifted = ((high << np.uint64(30)) & np.uint64(PRIME)) | (high >> np.uint64(31))
-        value = times(_folded(shifted + _folded(self.low[ends] - self.low[starts])), self.down[starts])
+        value = times(_folded(shifted + _folded(self.low[ends] - self.low[starts])), inverse_powers(starts))
         out = mix(value + length * np.uint64(0xD6E8FEB86659FD93))
         for i in np.flatnonzero(length >= LONG_RANGE):
             out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest())
