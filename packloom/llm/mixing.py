@@ -30,9 +30,11 @@ def plan_mixture(docs: DataFrame, weights=WEIGHTS, leans=LEANS, most: int = MOST
     no rows. Only the columns doc_id, source, text and those in `keep` are read; these come back in the struct `kept`.
     """
     digest = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
+    # One key that is never null for source and piece, so that the join with the starts and the running sum share one shuffle of the rows.
+    piece = F.concat(F.substring(digest, 1, PIECE_DIGITS), F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit("")))
     rows = docs.select(
         docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        digest.alias("key"), F.substring(digest, 1, PIECE_DIGITS).alias("piece"), *([F.struct(*[docs[c] for c in keep]).alias("kept")] if keep else []),
+        digest.alias("key"), piece.alias("piece"), *([F.struct(*[docs[c] for c in keep]).alias("kept")] if keep else []),
     )
     pieces = written(rows.groupBy("source", "piece").agg(F.sum("size").alias("words")), "mix-pieces")
     before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,13 +54,12 @@ def plan_mixture(docs: DataFrame, weights=WEIGHTS, leans=LEANS, most: int = MOST
     fits = level * F.col("weight") <= F.col("source_size") * most
     ranked = ranked.withColumn("level", F.when(fits, level)).withColumn("level", F.first("level", ignorenulls=True).over(fills.rowsBetween(Window.unboundedPreceding, 0)))
     cap = (F.col("source_size") * most).cast("double")
-    sources = ranked.select("source", "source_size", "lean", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), cap).alias("target"))
+    sources = ranked.select(F.col("source").alias("of"), "source_size", "lean", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), cap).alias("target"))
 
-    own = Window.partitionBy("source", "piece").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    same = lambda a, b, *names: [a[x].eqNullSafe(b[x]) for x in names]
-    placed = rows.join(starts, same(rows, starts, "source", "piece")).drop(starts["source"]).drop(starts["piece"])
-    placed = placed.withColumn("middle", F.col("start") + F.sum("size").over(own) - F.col("size") / 2.0)
-    placed = placed.join(sources, placed["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    # What is known of a piece is found on the pieces, of which there are at most 16 ** 3 a source.
+    starts = starts.join(sources, starts["source"].eqNullSafe(sources["of"])).drop("source", "of")
+    own = Window.partitionBy("piece").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(starts, "piece").withColumn("middle", F.col("start") + F.sum("size").over(own) - F.col("size") / 2.0)
     copies = F.least(F.lit(most), F.greatest(F.lit(0), F.floor((F.col("target") - F.col("middle")) / F.col("source_size")) + 1))
     placed = placed.withColumn("copies", F.when(F.col("source_size") > 0, copies).otherwise(F.when(F.col("target") >= F.col("middle"), 1).otherwise(0)).cast("int"))
     share = lambda e: F.when(F.col("target") > 0, (e * F.col("source_size") + F.col("middle")) / F.col("target")).otherwise(0.0)
