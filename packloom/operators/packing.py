@@ -50,18 +50,19 @@ def blocks() -> Column:
     return X.render_block(F.col("path"), F.col("ext"), F.col("processed"))
 
 
-def document_blocks(files: DataFrame, budgeted: DataFrame) -> DataFrame:
-    """seq and block of the files that are in, in order, for a document of any size. files: path, ext and processed."""
+def document_blocks(files: DataFrame, budgeted: DataFrame, minify: bool = False) -> DataFrame:
+    """seq and block of the files that are in, in order, for a document of any size. files: path, ext and text; only those that are in are processed again."""
     keys = ["path", "seq"] if "seq" in files.columns else ["path"]
-    return files.select(*keys, "ext", "processed").join(budgeted.where("included").select("path", "seq"), keys).select("seq", blocks().alias("block")).orderBy("seq")
+    chosen = files.select(*keys, "ext", "text").join(budgeted.where("included").select("path", "seq"), keys)
+    return process(chosen, minify).select("seq", blocks().alias("block")).orderBy("seq")
 
 
-def document(files: DataFrame, budgeted: DataFrame) -> DataFrame:
+def document(files: DataFrame, budgeted: DataFrame, minify: bool = False) -> DataFrame:
     """One row: the document. More than MAX_ROW_BYTES of it raise an error before any text is gathered; see document_blocks()."""
     size, truncated = budgeted.agg(F.coalesce(F.sum(F.when(F.col("included"), F.col("block_bytes"))), F.lit(0)), F.coalesce(F.bool_or(~F.col("included")), F.lit(False))).first()
     if size > MAX_ROW_BYTES:
         raise ValueError(f"a document of {size} bytes is too large for one row")
-    made = document_blocks(files, budgeted).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block"))), lambda x: x["block"]), "").alias("body"))
+    made = document_blocks(files, budgeted, minify).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block"))), lambda x: x["block"]), "").alias("body"))
     return made.select(F.concat(F.lit(HEADER), "body", F.lit(TRAILER if truncated else "")).alias("document"), F.lit(truncated).alias("truncated"))
 
 

@@ -84,16 +84,16 @@ def pack(spark: SparkSession, path: str = ".", mode: str = "scan", minify: bool
     if kept.isEmpty():
         return None, None
     read = selection.readable(tree.with_content(kept, base))
-    done = packing.process(read, minify or config.default_minify)
+    minify = minify or config.default_minify
     limit = (packing.DEFAULT_MAX_MB if config.max_output_mb is None else config.max_output_mb) << 20
-    budgeted = packing.with_budget(packing.sized(done), limit)
+    budgeted = packing.with_budget(packing.sized(packing.process(read, minify)), limit)
     stats = packing.stats(budgeted, split.where("skip_reason is not null")).first().asDict()
     if stats["output_bytes"] > packing.MAX_ROW_BYTES:
         if not output:
             raise ValueError(f"a document of {stats['output_bytes']} bytes needs an output file")
-        body = (r["block"] for r in packing.document_blocks(done, budgeted).toLocalIterator())
+        body = (r["block"] for r in packing.document_blocks(read, budgeted, minify).toLocalIterator())
         deliver(itertools.chain([packing.HEADER], body, [packing.TRAILER] * stats["truncated"]), output)
         return None, stats
-    text = packing.document(done, budgeted).first()["document"]
+    text = packing.document(read, budgeted, minify).first()["document"]
     deliver([text], output, sink, fallback)
     return text, stats

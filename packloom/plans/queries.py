@@ -262,10 +262,10 @@ o as (select '# Codebase Context' || chr(10) || chr(10) || coalesce(string_agg(b
 
 
 def _budgeted(spark, sf_dir, limit=LIMIT, budget=BUDGET):
-    """Processed files, their budget and the skipped ones."""
+    """The files that are kept, their budget and the skipped ones."""
     split = selection.partition(files(spark, sf_dir), limit, list(PATTERNS))
-    done = packing.process(split.where("skip_reason is null"))
-    return done, packing.with_budget(tracing.ranked(packing.sized(done)), budget), split.where("skip_reason is not null")
+    kept = split.where("skip_reason is null")
+    return kept, packing.with_budget(tracing.ranked(packing.sized(packing.process(kept))), budget), split.where("skip_reason is not null")
 
 
 @query(f"with {_RUN} select doc_id, md5(processed) as digest from b")
