@@ -14,6 +14,8 @@ from packloom.llm.queries import tokenizer
 PASSAGE_BYTES = 200
 
 
+#: Rows that go to a Python worker at once: texts are worked on by blocks of about 1 MB, and what waits beside them only takes memory.
+ROWS_AT_ONCE = 1_000
 #: The intermediate tables behind the result of the stage that was called last.
 _behind: list[str] = []
 
@@ -23,6 +25,7 @@ def stage(make):
 
     @functools.wraps(make)
     def run(spark, docs, sf_dir):
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
         release(docs, _behind)
         before = made()
         out = make(spark, docs, sf_dir)

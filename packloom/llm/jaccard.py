@@ -8,7 +8,11 @@ tokens that only one of two sets has, S the sum of their sizes, cut the shared o
 tokens at least, neighbours in the order of both sets. A set offers grams of neighbours, the least of each window of grams,
 and a run has a whole window, so that two linked sets offer a common gram.
 
-Sets that offer a common gram, or token, fall into connected parts, in which full sets are compared through an inverted
+Most sets that offer a common gram do so by chance or for a passage, and the more of them the larger the corpus is, until
+nearly all are connected. But two linked sets have a share of their grams in common, so that sets that have fewer in common
+with all others together are left out, again and again. Each of the others is compared with the one set, of the least ones
+of its offers, that it shares most offers with; offers that only one class has then lead nowhere, and sets with too few
+others are left out again. What is left falls into connected parts, in which full sets are compared through an inverted
 index; the sets of a part that is too large for one task are compared with hubs first, and what that leaves open by pairs
 of blocks.
 """
@@ -205,6 +209,87 @@ def _classes_of_large_parts(large: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _least_shared(percent: int, total: F.Column) -> F.Column:
+    """How many offers two linked sets, longer than those that offer single tokens, share at least; total: their sizes' sum, or less.
+
+    Of the runs of their shared tokens, one of r tokens has r - run + 1 windows of grams, and a gram is the least of `window` of them at most.
+    """
+    _, gram, window = scheme(percent)
+    run = gram + window - 1
+    left = percent - (run - 1) * (100 - percent)
+    return F.greatest(F.lit(1), F.ceil((total * left / (100 + percent) - (run - 1)) / window - 1e-9))
+
+
+def _enough(percent: int, n: F.Column, count: F.Column) -> F.Column:
+    """Whether a set of n tokens that has `count` offers in common with others can be linked with any of them."""
+    return (n * percent <= 100 * scheme(percent)[0]) | (count >= _least_shared(percent, n * (100 + percent) / 100))
+
+
+def _open(rows: DataFrame, percent: int) -> DataFrame:
+    """Those of the offers (node, n, top, offer) that sets of several tops have, of the sets that have enough of them; the others have no link to another top.
+
+    What goes leaves others with fewer, so this is done again while it takes away a tenth.
+    """
+    while True:
+        several = rows.groupBy("offer").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("offer")
+        left = written(rows.join(several, "offer", "left_semi"), "open")
+        enough = written(left.groupBy("node", "n").agg(F.count(F.lit(1)).alias("count")).where(_enough(percent, F.col("n"), F.col("count"))).select("node"), "enough")
+        after = written(left.join(enough, "node", "left_semi").select("node", "n", "top", "offer"), "open")
+        done = after.count() * 10 >= rows.count() * 9
+        for t in (rows, left, enough):
+            drop(t)
+        if done:
+            return after
+        rows = after
+
+
+def _nearest_hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, b): of the sets that are the least of an offer's, that with which a set shares the most offers, if enough of them."""
+    least = rows.groupBy("offer").agg(F.min(F.struct(F.col("node").alias("b"), F.col("n").alias("m"))).alias("h")).select("offer", "h.b", "h.m")
+    met = rows.join(written(least, "least"), "offer").where("node <> b").groupBy("node", "n", "b", "m").agg(F.count(F.lit(1)).alias("count"))
+    small, large = F.least("n", "m"), F.greatest("n", "m")
+    short = small * percent <= 100 * scheme(percent)[0]
+    may = (large * percent <= small * 100) & (short | (F.col("count") >= _least_shared(percent, small + large)))
+    return met.where(may).groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+
+
+def _linked(percent: int):
+    """(a, b) for those sets (node, tokens, b, the tokens of b) that are linked with b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column(1), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                linked.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"])
+            yield out.filter(pa.array(linked, pa.bool_()))
+
+    return run
+
+
+def _compared_parts(full: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(a, b) for links that connect what links among the sets (node, n, tokens) with the offers (node, offer) connect, and the tables behind it."""
+    least = written(rows.groupBy("offer").agg(F.min("node").alias("b")), "least")
+    parts = components(rows.join(least, "offer").select(F.col("node").alias("a"), "b"))
+    drop(least)
+    placed = written(full.join(parts, "node").select("label", "node", "n", "tokens"), "placed")
+    drop(parts)
+    totals = written(placed.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")), "totals")
+    is_large = (F.col("all") > BLOCK_TOKENS) | (F.col("members") > BLOCK_SETS)
+    both = placed.join(totals, "label")
+    small = both.where(~is_large).select("label", "node", "n", "tokens", F.lit(0).cast("long").alias("hub"))
+    links = written(small.groupBy("label").applyInPandas(_compared(percent), "a bigint, b bigint"), "stars")
+    tables = [links]
+    if not totals.where(is_large).isEmpty():
+        of_large = _classes_of_large_parts(written(both.where(is_large).select("label", "node", "n", "tokens"), "large"), percent)
+        links, tables = links.unionByName(of_large.select(F.col("node").alias("a"), F.col("label").alias("b"))), [links, of_large]
+    drop(placed)
+    drop(totals)
+    return links, tables
+
+
 def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """doc_id, key (of doc_id and text), n (the set's size) and top (a number for the class, null where n is 0) for every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -216,28 +301,35 @@ def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     heads = written(offered.groupBy("node", "n", "check").agg(F.min("key").alias("rep"), F.first("offers").alias("offers")).drop("check"), "heads")
     each = heads.select("node", F.explode("offers").alias("offer"))
     # Tables of one row an offer: then Spark can split the rows of a frequent offer in the join with it.
-    hubs = written(each.groupBy("offer").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"), "hubs")
-    parts = components(each.join(hubs, "offer").select(F.col("node").alias("a"), "b"))
-    drop(hubs)
-
-    chosen = parts.join(heads.select("node", "rep"), "node")
-    texts = rows.join(chosen, rows["key"] == F.col("rep")).select("label", "node", "text")
-    full = written(texts.mapInArrow(_full_sets(n_words), "label bigint, node bigint, n bigint, tokens binary").dropDuplicates(["node"]), "full")
+    several = written(each.groupBy("offer").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("offer"), "several")
+    shared = written(each.join(several, "offer", "left_semi"), "shared")
+    names = written(heads.select("node", "n", "rep"), "names")
     drop(heads)
-    drop(parts)
-    totals = written(full.groupBy("label").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("members")).where("members > 1"), "totals")
-    placed, is_large = full.join(totals, "label"), (F.col("all") > BLOCK_TOKENS) | (F.col("members") > BLOCK_SETS)
-    small = placed.where(~is_large).withColumn("hub", F.lit(0).cast("long"))
-    stars = written(small.select("label", "node", "n", "tokens", "hub").groupBy("label").applyInPandas(_compared(percent), "a bigint, b bigint"), "stars")
-    linked, tables = stars.select(F.col("a").alias("node"), F.col("b").alias("top")), [slim, stars, totals]
-    if totals.where(is_large).isEmpty():
-        drop(full)
-    else:
-        large = written(placed.where(is_large).select("label", "node", "n", "tokens"), "large")
-        drop(full)
-        of_large = _classes_of_large_parts(large, percent)
-        linked, tables = linked.unionByName(of_large.select("node", F.col("label").alias("top"))), [*tables, of_large]
-    out = slim.join(linked.where("node <> top"), "node", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("top", "node")).alias("top"))
+    drop(several)
+    offers = _open(written(shared.join(names, "node").select("node", "n", F.col("node").alias("top"), "offer"), "offers"), percent)
+    drop(shared)
+
+    # Most sets that are linked are so with the nearest hub. What offers then still lead from class to class is compared by parts.
+    near = written(_nearest_hubs(offers, percent), "near")
+    hubs = near.select(F.col("b").alias("node"), F.lit(True).alias("is_hub")).distinct()
+    chosen = offers.select("node").distinct().join(names.drop("n"), "node").join(near, "node", "left").join(hubs, "node", "left")
+    texts = rows.join(chosen, rows["key"] == F.col("rep")).select("key", "node", "b", F.coalesce("is_hub", F.lit(False)).alias("is_hub"), "text").dropDuplicates(["key"])
+    full = texts.select(F.struct("node", "b", "is_hub").alias("label"), "node", "text").mapInArrow(_full_sets(n_words), "label struct<node: bigint, b: bigint, is_hub: boolean>, node bigint, n bigint, tokens binary")
+    full = written(full.dropDuplicates(["node"]).select("node", "n", "tokens", "label.b", "label.is_hub"), "full")
+    drop(names)
+    drop(near)
+    to_hubs = full.where("b is not null").select("node", "tokens", "b").join(full.where("is_hub").select(F.col("node").alias("b"), F.col("tokens").alias("h_tokens")), "b")
+    links = written(to_hubs.select("node", "tokens", "b", "h_tokens").mapInArrow(_linked(percent), "a bigint, b bigint"), "links")
+    tops = components(links)
+    placed = offers.drop("top").join(tops.select("node", F.col("label").alias("top")), "node", "left")
+    left = _open(written(placed.select("node", "n", F.coalesce("top", "node").alias("top"), "offer"), "offers"), percent)
+    tables = [slim, links, offers, left, tops]
+    if not left.isEmpty():
+        more, behind = _compared_parts(full.select("node", "n", "tokens"), left, percent)
+        tops, tables = components(links.unionByName(more)), [*tables, *behind]
+        tables.append(tops)
+    drop(full)
+    out = slim.join(tops.where("node <> label").select("node", F.col("label").alias("top")), "node", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("top", "node")).alias("top"))
     out = written(out, "classes")
     for t in tables:
         drop(t)

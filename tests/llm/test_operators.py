@@ -214,6 +214,34 @@ def test_jaccard_blocks_and_classes(spark, monkeypatch):
         assert [(r.n_shingles, r.component_id) for r in jaccard.classes(d, 3, 90).orderBy("doc_id").collect()] == want
 
 
+def test_jaccard_chance_offers_make_no_large_part(spark, monkeypatch):
+    """Each text has a passage of its neighbour's, so all of them are connected by common offers, but none can be linked by so few."""
+    own = [[f"{i}_{j}" for j in range(150)] for i in range(60)]
+    docs = [(i, " ".join(own[i] + own[(i + 1) % 60][:60])) for i in range(60)]
+    docs += [(100 + i, t + " x") for i, t in docs[:10]] + [(200, docs[0][1] + " y")]
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard, "_classes_of_large_parts", lambda large, percent: pytest.fail(f"{large.count()} sets in large parts"))
+    got = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i == 200 else i % 100 for i, _ in docs}
+
+
+def test_jaccard_least_shared_offers(spark):
+    """Linked sets share as many offers as _least_shared says, for differences spread as evenly as they can be, and by chance."""
+    rng = np.random.default_rng(7)
+    for percent in (80, 90):
+        rows = []
+        for n in range(40, 700, 60):
+            for evenly in (True, False):
+                union = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                differ = n - -(-percent * n // 100)
+                at = np.linspace(0, n - 1, differ).astype(int) if evenly else rng.choice(n, differ, replace=False)
+                a, b = np.delete(union, at[::2]), np.delete(union, at[1::2])
+                shared = len(np.intersect1d(jaccard.offers(a, percent), jaccard.offers(b, percent)))
+                rows.append((len(a) + len(b), shared))
+        d = spark.createDataFrame(rows, "total long, shared long").withColumn("least", jaccard._least_shared(percent, F.col("total")))
+        assert d.where("shared < least").count() == 0 and d.agg(F.max("least")).first()[0] > 10
+
+
 def test_jaccard_shared_and_missing_ids(spark):
     w = [[f"{k}{i}" for i in range(60)] for k in "abcdef"]
     near = lambda x, *at: [f"v{i}" if i in at else y for i, y in enumerate(x)]
