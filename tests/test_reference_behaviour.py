@@ -221,3 +221,26 @@ def test_skip_reasons(spark):
     got = {r.path: r.skip_reason for r in selection.partition(rows, patterns=["docs/**", "[bad"]).collect()}
     assert got == {"a": None, "b": "size", "x-lock.json": "name", "p.PNG": None, "p.png": "name", "a.min": None, "docs/q.md": "ignored"}
     assert {r.path for r in selection.partition(rows, patterns=["docs/**"], no_limit=True).collect() if r.skip_reason} == {"docs/q.md"}
+
+
+def test_trace_of_long_chains(spark, monkeypatch):
+    """A path of any length takes few joins; depths are those of a search level by level, also with chains, cycles and branches."""
+    made = []
+    monkeypatch.setattr(tracing, "cut", lambda df, f=tracing.cut: made.append(1) or (f(df) if len(made) < 200 else pytest.fail("a join a node")))
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(1500)] + [(1500, 900), (700, 2000), (2000, 1400), (5, 3000), (3000, 3001), (3001, 6), (4000, 4001)]
+    loops = [(i, (i * 7 + 1) % 3001) for i in range(3001)]
+    wide = [(rng.randrange(400), rng.randrange(400)) for _ in range(380)] + [(i, i + 1) for i in range(60)]
+    for edges in (chain, loops, wide):
+        after, want, line = {}, {0: 0}, [0]
+        for a, b in edges:
+            after.setdefault(a, []).append(b)
+        for a in line:
+            for b in after.get(a, []):
+                if b not in want:
+                    want[b] = want[a] + 1
+                    line.append(b)
+        got = tracing.reachable(spark.createDataFrame([(0,)], "node long"), spark.createDataFrame(edges, "src long, dst long")).collect()
+        assert len(got) == len(want) and {r.node: r.depth for r in got} == want
+        assert got[0].asDict().keys() == {"node", "depth"}
+        made.clear()
