@@ -49,19 +49,17 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
         windows = range(0, n - least + 1, (1 << PLACE_BITS) - least + 1)
         parts = [(a, minimizers(data[a : a + (1 << PLACE_BITS)], np.clip(offsets - a, 0, min(n - a, 1 << PLACE_BITS)), least)) for a in windows]
         return tuple(np.concatenate([x[i] + (a if i < 3 else np.uint64(0)) for a, x in parts]) for i in range(4))
-    at = np.arange(n - K + 1)
-    hashes = T.Rolling(data).of(at, at + K)
+    hashes = T.Rolling(data).every(K)
     bits = np.uint64((1 << PLACE_BITS) - 1)
-    packed = (hashes & ~bits) | at.astype(np.uint64)
+    packed = (hashes & ~bits) | np.arange(n - K + 1, dtype=np.uint64)
     padded = np.full(-(-len(packed) // span) * span, np.iinfo(np.uint64).max)
     padded[: len(packed)] = packed
     grid = padded.reshape(-1, span)
     up = np.minimum.accumulate(grid, axis=1).ravel()
     down = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = np.arange(n - least + 1)
-    place = (np.minimum(down[starts], up[starts + span - 1]) & bits).astype(np.int64)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    starts = starts[starts + least <= offsets[row + 1]]
+    place = (np.minimum(down[: n - least + 1], up[span - 1 : n - least + span]) & bits).view(np.int64)
+    starts = starts[starts + least <= np.repeat(offsets[1:], np.diff(offsets))[: n - least + 1]]
     if not len(starts):
         return none, none, none, none.view(np.uint64)
     place = place[starts]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -99,6 +100,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
             yield batch.slice(start, end - start), data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system at a task's end: Spark keeps workers, and their memory adds up beside those that work."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 class Rolling:
@@ -113,6 +122,13 @@ class Rolling:
         length = (ends - starts).astype(np.uint64)
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + length * np.uint64(0xD6E8FEB86659FD93))
 
+    def every(self, n: int) -> np.ndarray:
+        """The hashes of all ranges of n bytes, from first to last."""
+        sums = self.sums[n:] - self.sums[:-n]
+        sums *= self.down[: len(sums)]
+        sums += np.uint64(n * 0xD6E8FEB86659FD93 % (1 << 64))
+        return mix(sums)
+
 
 class Prefix:
     """Hashes that stand for any ranges of some bytes: polynomials modulo a prime, by differences of running sums.

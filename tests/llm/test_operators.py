@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packloom.llm import bpe, chat, jaccard, media, mixing, pieces, quality, repeats, sharding, tokens, warc
+from packloom.llm import bpe, chat, jaccard, media, mixing, pieces, quality, repeats, sharding, text, tokens, warc
 from packloom.llm.common import components
 from packloom.llm.queries import tokenizer
 
@@ -225,6 +225,30 @@ def test_jaccard_chance_offers_make_no_large_part(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: 0 if i == 200 else i % 100 for i, _ in docs}
 
 
+def test_chunks_are_segmented_once(monkeypatch):
+    """The way back takes the pieces that the matrices were made of: only what lies about its two ends is encoded again."""
+    m, sizes = bpe.load(tokenizer()), []
+    data = m.raw("some words of a long text, one after the other. " * 400)
+    whole = pieces.Chunk(m, data, 0, 8192, True, False)
+    runs = [j for j, x in enumerate(whole.matrix()[0]) if np.isfinite(x)]
+    monkeypatch.setattr(bpe.Bpe, "encode", lambda self, x, f=bpe.Bpe.encode: sizes.append(len(x)) or f(self, x))
+    again = pieces.Chunk(m, data, 0, 8192, True, False, whole.inner[0].astype(np.int32).tobytes())
+    assert runs and all(again.run(0, j).tolist() == whole.run(0, j).tolist() for j in runs) and max(sizes) < 2000
+
+
+def test_minimizers_of_every_window():
+    """Against the least hash of each window, one by one, with empty and short rows between."""
+    rng = np.random.default_rng(3)
+    sizes = [0, 300, 30, 0, 0, 150, 64, 63, 1, 0]
+    data, offsets, least = rng.integers(97, 101, sum(sizes), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)]), 64
+    at = np.arange(len(data) - repeats.K + 1)
+    hashes = text.Rolling(data).of(at, at + repeats.K)
+    assert (text.Rolling(data).every(repeats.K) == hashes).all()
+    want = {s: s + int(np.argmin(hashes[s : s + least - repeats.K + 1] >> np.uint64(repeats.PLACE_BITS))) for a, b in zip(offsets, offsets[1:]) for s in range(a, b - least + 1)}
+    first, last, place, _ = repeats.minimizers(data, offsets, least)
+    assert {s: int(p) for a, b, p in zip(first, last, place) for s in range(a, b + 1)} == want
+
+
 def test_jaccard_least_shared_offers(spark):
     """Linked sets share as many offers as _least_shared says, for differences spread as evenly as they can be, and by chance."""
     rng = np.random.default_rng(7)
