@@ -47,7 +47,10 @@ class Bpe:
 
     def spans(self, data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, begins and ends of the pieces of a stretch that starts at byte `at`."""
-        ids = self.encode(data)
+        return self.placed(self.encode(data), at)
+
+    def placed(self, ids: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for pieces that are known."""
         ends = at + np.cumsum(self.length[ids])
         return ids, ends - self.length[ids], ends
 

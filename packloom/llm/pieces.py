@@ -5,11 +5,12 @@ start and t at its end, the best sum of scores of the pieces after s up to t, or
 leads from s to t. In a BPE model a run is allowed only if each pair of neighbours is the segmentation of its joined text
 (see bpe.Bpe), so that the one allowed run through the whole document is the library's segmentation. Matrices are
 multiplied in the (max, +) semiring, which is associative: groups of chunks, then groups of groups, up to one matrix a
-document; the way back fixes the states at every cut, and each chunk then writes its own pieces.
+document; the way back fixes the states at every cut, and each chunk then writes its own pieces. Its segmentation is made once and kept for that.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,13 +48,24 @@ def _states(m: bpe.Bpe, data: bytes, cut: int) -> list[tuple[int, int]]:
 class Chunk:
     """A chunk [c0, c1) of `data`, which has some bytes before and after it; the document's start and end have one state."""
 
-    def __init__(self, m: bpe.Bpe, data: bytes, c0: int, c1: int, first: bool, last: bool):
+    def __init__(self, m: bpe.Bpe, data: bytes, c0: int, c1: int, first: bool, last: bool, inner: bytes | None = None):
         self.m, self.data, self.c0, self.c1 = m, data, c0, c1
         self.ins = [None] if first else _states(m, data, c0)
         self.outs = [None] if last else _states(m, data, c1)
-        self.inner = m.spans(data[c0:c1], c0)
+        self.inner = m.spans(data[c0:c1], c0) if inner is None else m.placed(np.frombuffer(inner, np.int32).astype(np.int64), c0)
         self.sums = np.concatenate([[0.0], np.cumsum(m.score[self.inner[0]])])
-        self.heads, self.tails = [self._head(s) for s in self.ins], [self._tail(t) for t in self.outs]
+        self._heads, self._tails = {}, {}
+
+    def head(self, i: int):
+        """What _head says of state i, made when it is asked for: a run needs one state of each side."""
+        if i not in self._heads:
+            self._heads[i] = self._head(self.ins[i])
+        return self._heads[i]
+
+    def tail(self, j: int):
+        if j not in self._tails:
+            self._tails[j] = self._tail(self.outs[j])
+        return self._tails[j]
 
     def _head(self, s):
         """(ids after s, index in the inner pieces from where on those are used); ids None: s can't stand before those; (): no joint."""
@@ -90,7 +102,7 @@ class Chunk:
 
     def run(self, i: int, j: int) -> np.ndarray | None:
         """The ids after state i up to state j, or None."""
-        s, t, head, tail = self.ins[i], self.outs[j], self.heads[i], self.tails[j]
+        s, t, head, tail = self.ins[i], self.outs[j], self.head(i), self.tail(j)
         if head and tail and head[1] <= tail[1]:
             return None if head[0] is None or tail[0] is None else np.concatenate([head[0], self.inner[0][head[1] : tail[1]], tail[0]])
         a, b = s[0] if s else self.c0, t[1] if t else self.c1
@@ -101,8 +113,8 @@ class Chunk:
 
     def matrix(self) -> np.ndarray:
         out = np.full((len(self.ins), len(self.outs)), -np.inf)
-        for i, head in enumerate(self.heads):
-            for j, tail in enumerate(self.tails):
+        for i, head in enumerate(map(self.head, range(len(self.ins)))):
+            for j, tail in enumerate(map(self.tail, range(len(self.outs)))):
                 if head and tail and head[1] <= tail[1]:
                     if head[0] is not None and tail[0] is not None:
                         out[i, j] = self.m.score[head[0]].sum() + self.sums[tail[1]] - self.sums[head[1]] + self.m.score[tail[0]].sum()
@@ -182,8 +194,9 @@ def _matrix_rows(model: str):
         m = bpe.load(model)
         for batch in batches:
             for r in batch.to_pylist():
-                x = Chunk(m, r["body"], r["c0"], r["c1"], r["no"] == 0, r["last"]).matrix()
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]], pa.binary()), pa.array([r["no"]], pa.int64()), pa.array([x.shape[0]], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["key", "no", "n_in", "n_out", "m"])
+                chunk = Chunk(m, r["body"], r["c0"], r["c1"], r["no"] == 0, r["last"])
+                x, inner = chunk.matrix(), chunk.inner[0].astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([r["key"]], pa.binary()), pa.array([r["no"]], pa.int64()), pa.array([x.shape[0]], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([inner], pa.binary())], names=["key", "no", "n_in", "n_out", "m", "inner"])
 
     return run
 
@@ -193,7 +206,7 @@ def _backtrace(model: str):
         m = bpe.load(model)
         for batch in batches:
             for r in batch.to_pylist():
-                ids = Chunk(m, r["body"], r["c0"], r["c1"], r["no"] == 0, r["last"]).run(r["s"], r["t"])
+                ids = Chunk(m, r["body"], r["c0"], r["c1"], r["no"] == 0, r["last"], r["inner"]).run(r["s"], r["t"])
                 yield pa.RecordBatch.from_arrays([pa.array([r["key"]], pa.binary()), pa.array([r["no"]], pa.int64()), _lists([ids])], names=["key", "no", "ids"])
 
     return run
@@ -217,8 +230,10 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bpe.load(model)
         for batch, _, _ in T.blocks(batches):
-            ids = [np.array(x, np.int32) for x in m.whole.encode([t or "" for t in batch.column(1).to_pylist()], num_threads=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.ones(len(ids), np.int64)), batch.column(3), _lists(ids)], names=["doc_id", "n_bytes", "n_chunks", "text_hash", "ids"])
+            ids = m.whole.encode([t or "" for t in batch.column(1).to_pylist()], num_threads=1)
+            ends = np.cumsum([0, *map(len, ids)])
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), np.fromiter(itertools.chain.from_iterable(ids), np.int32, ends[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.ones(len(ids), np.int64)), batch.column(3), lists], names=["doc_id", "n_bytes", "n_chunks", "text_hash", "ids"])
 
     fields = f"doc_id {kind}, n_bytes bigint, n_chunks bigint, text_hash bigint, ids array<int>"
     if not bpe.load(model).cuttable:
@@ -226,9 +241,9 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     large = rows.where(F.col("n_bytes") > giant).withColumn("key", F.unhex(F.sha2(F.col("text"), 256)))
     texts = large.select("key", "text").dropDuplicates(["key"])
     chunks = written(texts.mapInArrow(_chunks(model, chunk), "key binary, no long, body binary, c0 long, c1 long, last boolean"), "chunks")
-    matrices = written(chunks.mapInArrow(_matrix_rows(model), MATRIX), "matrices")
-    ends = _states_at_cuts(matrices)
-    parts = chunks.join(ends, ["key", "no"]).mapInArrow(_backtrace(model), "key binary, no long, ids array<int>")
+    matrices = written(chunks.mapInArrow(_matrix_rows(model), f"{MATRIX}, inner binary"), "matrices")
+    ends = _states_at_cuts(matrices.drop("inner"))
+    parts = chunks.join(matrices.select("key", "no", "inner"), ["key", "no"]).join(ends, ["key", "no"]).mapInArrow(_backtrace(model), "key binary, no long, ids array<int>")
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     whole = whole.select("key", F.size("parts").cast("long").alias("n_chunks"), F.flatten(F.col("parts.ids")).alias("ids"))
     whole = written(whole, "ids")  # a table: then Spark can split the rows of a text that many have
@@ -249,5 +264,6 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 part = batch.slice(a, 256)
                 texts = m.whole.decode([x or [] for x in part.column(place).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+        T.give_back()
 
     return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*encoded.dtypes, ("decoded", "string")]))
